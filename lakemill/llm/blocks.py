@@ -7,8 +7,8 @@ packed message of as many entries, in the same order. A block works its keys out
 the order of its rows, and so needs neither keys nor positions in the answers.
 
 * A key that a third of all documents hold takes one entry for each block, never one for each document.
-* Blocks and buckets number a few times ``spark.sql.shuffle.partitions``, so that memory for each stays the same
-  when that setting follows the size of the data.
+* Blocks and buckets follow ``spark.sql.shuffle.partitions``, so that memory for each stays the same when that
+  setting follows the size of the data.
 * All is recomputed from shuffle files or the input if an executor is lost; nothing depends on the order of rows.
 """
 
@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from lakemill.llm.words import SLICE_BYTES
 
-#: Blocks (and buckets) for each shuffle partition.
-BLOCKS_PER_PARTITION = 3
+#: Blocks and buckets for each shuffle partition. A step sends blocks times buckets messages at most.
+BLOCKS_PER_PARTITION, BUCKETS_PER_PARTITION = 3, 1
 
 MESSAGE = "to int, sender int, data binary"
 _MESSAGE = pa.schema([("to", pa.int32()), ("sender", pa.int32()), ("data", pa.binary())])
@@ -39,6 +39,10 @@ def block_count(spark: SparkSession) -> int:
     return max(8, BLOCKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bucket_count(spark: SparkSession) -> int:
+    return max(8, BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
 

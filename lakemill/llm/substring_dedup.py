@@ -254,7 +254,7 @@ def substring_dedup(docs: DataFrame, width: int = 50, as_is: bool = False) -> Da
     is. See the module for the rules.
     """
     spark = docs.sparkSession
-    buckets = B.block_count(spark)
+    buckets = B.bucket_count(spark)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     blocks = B.to_blocks(docs, [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else [])
 

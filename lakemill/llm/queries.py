@@ -1,9 +1,15 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
+from lakemill.llm.byte_bpe import op6_byte_bpe
+from lakemill.llm.iso_media import op9_iso_media
+from lakemill.llm.minhash import op3_minhash
 from lakemill.llm.substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_minhash": op3_minhash,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op9_iso_media": op9_iso_media,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -14,6 +14,7 @@ the order of its rows, and so needs neither keys nor positions in the answers.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,6 +58,12 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def free(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of earlier steps, whose results are checkpointed."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codec = pa.Codec("zstd", 1)
     for batch in batches:

@@ -23,8 +23,6 @@ are left out.
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -273,12 +271,6 @@ def _unigram_counts(block: _Block, answers: pa.Table, buckets: int) -> np.ndarra
     return out
 
 
-def _free(spark) -> None:
-    """Lets Spark remove shuffle files of steps whose results are checkpointed."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def score(docs: DataFrame, held: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``.
 
@@ -298,7 +290,7 @@ def score(docs: DataFrame, held: str) -> DataFrame:
     stats = np.sum(stats, axis=0) if stats else np.zeros(TOP + 5, np.int64)
     uni, ends = Unigrams(stats[:-1]), int(stats[-1])
     first = first.where("to >= 0")
-    _free(spark)
+    B.free(spark)
 
     def bigrams(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -320,7 +312,7 @@ def score(docs: DataFrame, held: str) -> DataFrame:
             have[1] += float(mass)
     d = np.array([*discounts([0, *n.tolist()]), 1.0])
     second = second.where("to >= 0")
-    _free(spark)
+    B.free(spark)
 
     def work(table: pa.Table, answers: pa.Table) -> pa.Table:
         block = _Block(table)

@@ -194,18 +194,19 @@ def _subgroups(table: pa.Table, columns: list[str]):
         yield rows, [np.frombuffer(sets[int(r)].as_buffer(), np.uint64) for r in rows]
 
 
-_LINKS = "a bigint, b bigint, cluster bigint, chunk int, rank int"
+#: rank 0: a link; above: one of its chunk's hubs; below: a member of a large cluster, with its set
+_LINKS = "a bigint, b bigint, cluster bigint, chunk int, rank int, text binary"
 
 
 def _links(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) or [()] * 5
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["a", "b", "cluster", "chunk", "rank"])
+    cols = list(zip(*rows, strict=True)) or [()] * 6
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["a", "b", "cluster", "chunk", "rank", "text"])
 
 
 def _within(percent: int):
     def work(table: pa.Table) -> pa.Table:
-        """Links inside each (cluster, chunk); a link of a member to itself marks one of the chunk's hubs."""
+        """Links inside each (cluster, chunk); from chunks of large clusters also hubs and all sets."""
         ids, cluster, chunk = (table.column(c).to_numpy() for c in ("doc_id", "cluster", "chunk"))
         out = []
         for rows, sets in _subgroups(table, ["cluster", "chunk"]):
@@ -214,14 +215,15 @@ def _within(percent: int):
             group = _Group(sets, np.arange(len(rows)), percent)
             found, seen = group.all_links()
             c, k = int(cluster[rows[0]]), int(chunk[rows[0]])
-            out += [(int(ids[rows[i]]), int(ids[rows[j]]), c, k, 0) for i, j in found]
+            out += [(int(ids[rows[i]]), int(ids[rows[j]]), c, k, 0, None) for i, j in found]
             if table.column("chunks")[int(rows[0])].as_py() > 1:
                 best, rank = {}, np.argsort(-seen, kind="stable")
                 for i in rank:
                     best.setdefault(int(group.labels[i]), int(i))
                     if len(best) == HUBS:
                         break
-                out += [(int(ids[rows[i]]), int(ids[rows[i]]), c, k, r + 1) for r, i in enumerate(best.values())]
+                out += [(int(ids[rows[i]]), int(ids[rows[i]]), c, k, r + 1, None) for r, i in enumerate(best.values())]
+                out += [(int(ids[r]), int(ids[r]), c, k, -1, s.tobytes()) for r, s in zip(rows, sets, strict=True)]
         return _links(out)
 
     return work
@@ -237,7 +239,7 @@ def _across(percent: int):
                 continue
             group = _Group(sets, label[rows], percent)
             for i in np.flatnonzero(turn[rows]):
-                out += [(int(ids[rows[i]]), int(ids[rows[j]]), int(cluster[rows[i]]), 0, 0) for i, j in group.join(int(i), group.linked(int(i)))]
+                out += [(int(ids[rows[i]]), int(ids[rows[j]]), int(cluster[rows[i]]), 0, 0, None) for i, j in group.join(int(i), group.linked(int(i)))]
         return _links(out)
 
     return work
@@ -263,6 +265,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b < last")
     edges = banded.join(shared.select("key", "b"), "key").select(F.col("doc_id").alias("a"), "b").where("a != b").distinct()
     clusters = connected_components(edges)
+    B.free(spark)
 
     # clusters dealt into chunks of bounded size
     member = clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")).join(reps.select("doc_id", "n_shingles").distinct(), "doc_id")
@@ -275,13 +278,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     bins = 2 * B.block_count(spark)
     texts = B.to_blocks(docs.where("doc_id is not null")).select("doc_id", "text")
 
-    def compare(roles: DataFrame, keys: list[str], work) -> DataFrame:
-        rows = texts.join(roles, "doc_id")
-        rows = rows.mapInArrow(_sets, rows.schema)
+    def compare(rows: DataFrame, keys: list[str], work) -> DataFrame:
         binned = rows.withColumn("bin", F.pmod(F.xxhash64(*keys), F.lit(bins)).cast("int"))
-        return binned.groupBy("bin").applyInArrow(work, _LINKS)
+        return B.checkpointed(binned.groupBy("bin").applyInArrow(work, _LINKS))
 
-    links = B.checkpointed(compare(member, ["cluster", "chunk"], _within(percent)))
+    # both sides are dealt by id whatever their size, so that cost follows the input alike at every size
+    rows = texts.join(member.hint("merge"), "doc_id")
+    links = compare(rows.mapInArrow(_sets, rows.schema), ["cluster", "chunk"], _within(percent))
+    sets = links.where("rank < 0").select(F.col("a").alias("doc_id"), "text")
+    B.free(spark)
     # clusters of several chunks
     large = member.where("chunks > 1")
     if not large.isEmpty():
@@ -291,8 +296,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         roles = large.select("doc_id", "cluster", "chunk", F.lit(0).alias("part"), F.col("doc_id").alias("label"), F.lit(False).alias("turn")).unionAll(
             turns.where("chunk != home").select("doc_id", "cluster", "chunk", F.lit(0), "doc_id", F.lit(True))
         )
-        met = B.checkpointed(compare(roles, ["cluster", "chunk", "part"], _across(percent)))
-        links = links.unionAll(met)
+        met = compare(sets.join(roles, "doc_id"), ["cluster", "chunk", "part"], _across(percent))
+        links = links.where("rank >= 0").unionAll(met)
         found = connected_components(links.join(each.select("cluster"), "cluster", "left_semi").select("a", "b"))
         labelled = large.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
             "doc_id", "cluster", "chunk", "chunks", F.coalesce("component", "doc_id").alias("label")
@@ -311,8 +316,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
                 .withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("parts")).cast("int"))
                 .select("doc_id", "cluster", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "part", "label", F.lit(True).alias("turn"))
             )
-            links = links.unionAll(compare(everywhere.unionAll(turns), ["cluster", "chunk", "part"], _across(percent)))
-    components = B.checkpointed(connected_components(links.select("a", "b")))
+            rows = sets.join(everywhere.unionAll(turns), "doc_id")
+            links = links.unionAll(compare(rows, ["cluster", "chunk", "part"], _across(percent)))
+    components = B.checkpointed(connected_components(links.where("a != b").select("a", "b")))
+    B.free(spark)
 
     out = described.select("doc_id", "n_shingles", "high", "low").join(classes, ["n_shingles", "high", "low"], "left")
     out = out.join(components.withColumnRenamed("id", "rep"), "rep", "left")

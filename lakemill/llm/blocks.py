@@ -44,17 +44,16 @@ def bucket_count(spark: SparkSession) -> int:
     return max(8, BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset (tests, a laptop), one in the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
 
-    Where the setting is missing (tests, a laptop) a folder beside the warehouse is used.
-    """
+def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
+    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager)
 
 

@@ -332,3 +332,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def op3_minhash(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document, linked at a similarity of 0.85."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85)
+
+
+def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without those that the least doc_id of their group of near-duplicates stands for."""
+    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")

@@ -9,6 +9,7 @@ from lakemill.llm.nbsvm import op5_nbsvm
 from lakemill.llm.quality_rules import op7_quality_rules
 from lakemill.llm.sharding import op2_sharding
 from lakemill.llm.substring_dedup import op1_substring_dedup
+from lakemill.llm.tool_calls import op10_tool_calls
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
     "op9_iso_media": op9_iso_media,
+    "op10_tool_calls": op10_tool_calls,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -329,3 +329,16 @@ def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = substring_dedup(docs)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def cut_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
+    """``docs``, same rows and columns, with repeated passages cut from the texts (and n_chars to match, if there).
+
+    A text that loses nothing stays as it is; of a text that loses words, the others are joined by one space.
+    """
+    out = substring_dedup(docs, width, as_is=True)
+    cut = F.col("n_removed") > 0
+    changed = {"text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(cut, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumns(changed).select(*[F.col(f"`{c}`") for c in docs.columns])

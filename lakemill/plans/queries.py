@@ -255,8 +255,8 @@ _sql(
 )
 _sql(
     "date_diff_lastday",
-    "SELECT o_orderkey, DATEDIFF(o_orderdate, '1992-01-01') AS days, LAST_DAY(o_orderdate) AS last FROM orders",
-    "SELECT o_orderkey, CAST(DATEDIFF('day', TIMESTAMP '1992-01-01', o_orderdate) AS INT) AS days, LAST_DAY(o_orderdate) AS last FROM orders",
+    "SELECT o_orderkey, DATEDIFF(o_orderdate, '1992-01-01') AS days, CAST(LAST_DAY(o_orderdate) AS CHAR) AS last FROM orders",
+    "SELECT o_orderkey, CAST(DATEDIFF('day', TIMESTAMP '1992-01-01', o_orderdate) AS INT) AS days, CAST(LAST_DAY(o_orderdate) AS VARCHAR) AS last FROM orders",
 )
 _sql(
     "date_format_parse",

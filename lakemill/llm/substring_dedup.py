@@ -18,7 +18,7 @@ Ids of names: two different windows among 10**13 agree with a chance below 10**-
 
 Defined cases: a null text has no words; a text shorter than the window is kept; rows with an equal doc_id count as
 one document, so they don't make each other repeats; a null doc_id counts as larger than any other; windows inside
-one document that repeat there are kept. Other columns pass unchanged.
+one document that repeat there are kept. Other columns pass unchanged, but for those named as a result column.
 """
 
 from __future__ import annotations
@@ -255,7 +255,7 @@ def substring_dedup(docs: DataFrame, width: int = 50, as_is: bool = False) -> Da
     """
     spark = docs.sparkSession
     buckets = B.bucket_count(spark)
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed", "removed", "kept_text")]
     blocks = B.to_blocks(docs, [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else [])
 
     def symbols(table: pa.Table) -> pa.Table:
@@ -336,9 +336,12 @@ def cut_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
 
     A text that loses nothing stays as it is; of a text that loses words, the others are joined by one space.
     """
-    out = substring_dedup(docs, width, as_is=True)
-    cut = F.col("n_removed") > 0
-    changed = {"text": F.col("kept_text")}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(cut, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumns(changed).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row")
+    out = substring_dedup(docs.select("doc_id", "text", row), width, as_is=True)
+    made = []
+    for c in docs.columns:
+        value = F.col("kept_text") if c == "text" else F.col("_row").getField(c)
+        if c == "n_chars":
+            value = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema[c].dataType)).otherwise(value)
+        made.append(value.alias(c))
+    return out.select(*made)

@@ -1,5 +1,6 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
+from lakemill.llm import oracle
 from lakemill.llm.byte_bpe import op6_byte_bpe
 from lakemill.llm.iso_media import op9_iso_media
 from lakemill.llm.katz import op4_katz
@@ -24,4 +25,10 @@ QUERIES = {
     "op10_tool_calls": op10_tool_calls,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": oracle.SUBSTRINGS,
+    "op2_sharding": oracle.SHARDS,
+    "op3_minhash": oracle.NEAR,
+    "op8_mixing": oracle.MIX,
+    "op10_tool_calls": oracle.TOOL_CALLS,
+}

@@ -76,3 +76,14 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
 def top_per_group(df: DataFrame, partition: list, order: list, k: int) -> DataFrame:
     """The first k rows of each group; a group-limit runs before the shuffle."""
     return df.withColumn("_rank", F.row_number().over(window(partition, order))).where(F.col("_rank") <= k).drop("_rank")
+
+
+def shuffled(df: DataFrame, seed: int) -> DataFrame:
+    """Rows in a random order: dealt to random partitions and sorted inside them, without a global sort."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.withColumn("_order", F.rand(seed)).repartition(n, "_order").sortWithinPartitions("_order").drop("_order")
+
+
+def shape(df: DataFrame) -> DataFrame:
+    """One row: row_count and column_count."""
+    return df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("column_count", F.lit(len(df.columns)))

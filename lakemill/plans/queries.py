@@ -6,7 +6,6 @@ the rest use the DataFrame operators. Sums of money go through decimals, to be e
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from lakemill.functions import dates, scalars
 from lakemill.operators import relational as R
 from lakemill.sources import readers, sinks
 from lakemill.streaming.events import event_counts
+from lakemill.types import published
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 QUERIES: dict = {}
@@ -319,10 +319,32 @@ _sql(
 
 def _folder(spark) -> str:
     """A new folder where driver and executors both can write."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/roundtrip-{uuid.uuid4().hex}"
 
 
+@_frame("publish", "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM orders")
+def publish(spark, sf_dir):
+    """Results in the form that callers see: date-times as text."""
+    return published(_read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate")))
+
+
+@_frame("shuffle_rows", "SELECT n_nationkey, n_name FROM nation")
+def shuffle_rows(spark, sf_dir):
+    return R.shuffled(_read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), 7)
+
+
+@_frame("shape", "SELECT CAST(COUNT(*) AS BIGINT) AS row_count, 11 AS column_count FROM lineitem")
+def shape(spark, sf_dir):
+    return R.shape(_read(spark, sf_dir, "lineitem"))
+
+
+@_frame("constant_broadcast", "SELECT r_regionkey, CAST(3 AS INT) AS three, 'c' AS letter, TRUE AS yes, CAST(1.5 AS DOUBLE) AS half FROM region")
+def constant_broadcast(spark, sf_dir):
+    """Scalars take the shape of the relation that they stand beside."""
+    return _read(spark, sf_dir, "region").select("r_regionkey", F.lit(3).alias("three"), F.lit("c").alias("letter"), F.lit(True).alias("yes"), F.lit(1.5).alias("half"))
+
+
 @_frame("csv_roundtrip", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
 def csv_roundtrip(spark, sf_dir):
     path = _folder(spark)

@@ -131,3 +131,15 @@ def test_stream(spark, tmp_path):
     whole = {tuple(r) for r in event_counts(df).withColumn("start", F.col("start").cast("string")).collect()}
     got = {tuple(r) for r in closed.withColumn("start", F.col("start").cast("string")).collect()}
     assert got and got < whole
+
+
+def test_jdbc(spark):
+    url = "jdbc:derby:memory:lakemill_test;create=true"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    df = spark.range(100).selectExpr("id as k", "id % 7 as g")
+    df.write.format("jdbc").options(url=url, dbtable="t", **options).save()
+    sinks.append_jdbc(df.where("k < 10"), url, "t", **options)
+    back = readers.read_jdbc(spark, url, "t", key="K", bounds=(0, 100), parts=4, **options)
+    assert back.count() == 110 and back.rdd.getNumPartitions() == 4
+    plan = back.where("G = 3").select("K")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [*" in plan and "G" in plan.split("PushedFilters")[1].split("]")[0], plan

@@ -205,11 +205,12 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass the base rules and the learned list."""
-    stats = statistics(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).drop("text")
-    rules = learn(checkpointed(stats.join(labels, "doc_id")))
-    inner = statistics(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text"))
-    return inner.where(~F.col("base_failed") & verdict(rules)).select("_row.*")
+    """The rows of ``docs`` without those whose doc_id the base rules or the learned list reject.
+
+    Rows that share a doc_id go if one of them is rejected; rows with a null doc_id stay.
+    """
+    gone = judged(docs, labels).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -334,13 +334,13 @@ def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
 def cut_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     """``docs``, same rows and columns, with repeated passages cut from the texts (and n_chars to match, if there).
 
-    A text that loses nothing stays as it is; of a text that loses words, the others are joined by one space.
+    A text that loses nothing, and a null, stays as it is; of a text that loses words, the others are joined by one space.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row")
-    out = substring_dedup(docs.select("doc_id", "text", row), width, as_is=True)
+    out = substring_dedup(docs.select("doc_id", "text", row, F.col("text").isNull().alias("_null")), width, as_is=True)
     made = []
     for c in docs.columns:
-        value = F.col("kept_text") if c == "text" else F.col("_row").getField(c)
+        value = F.when(~F.col("_null"), F.col("kept_text")) if c == "text" else F.col("_row").getField(c)
         if c == "n_chars":
             value = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema[c].dataType)).otherwise(value)
         made.append(value.alias(c))

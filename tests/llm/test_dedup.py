@@ -62,7 +62,7 @@ def test_cut_repeats_keeps_rows_and_columns(odd):
     out = substring_dedup.cut_repeats(odd)
     assert out.columns == odd.columns
     text = {r.doc_id: r.text for r in out.collect()}
-    assert len(text) == len(ODD) and text[10] == "" and text[13] == "other" and text[16] == ODD[15][1]
+    assert len(text) == len(ODD) and text[10] == "" and text[13] == "other" and text[1] is None and text[2] == "" and text[16] == ODD[15][1]
 
 
 def test_symbols_do_not_depend_on_what_stands_around():

@@ -15,6 +15,7 @@ the order of its rows, and so needs neither keys nor positions in the answers.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,9 +59,14 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def free(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of earlier steps, whose results are checkpointed."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark remove the shuffle files of earlier steps, whose results are checkpointed.
+
+    Python's references to frames are given up in the background, so the second round finds what the first released.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

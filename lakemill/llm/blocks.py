@@ -61,11 +61,12 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
 def free(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of earlier steps, whose results are checkpointed.
 
-    Python's references to frames are given up in the background, so the second round finds what the first released.
+    Python's references to frames are given up by a background thread that looks for work once a second, so the JVM's
+    collection has to wait longer than that; the second round finds what the first released.
     """
     for _ in range(2):
         gc.collect()
-        time.sleep(0.3)
+        time.sleep(1.5)
         spark.sparkContext._jvm.System.gc()
 
 

@@ -5,7 +5,8 @@
 3. substring dedup: passages of 50 words and more that an earlier document holds are cut from the texts;
 4. mixing: rows are put in the order of a Pfair schedule, each source at the weight of the square root of its rows;
    no row is dropped or repeated, so past the point where a source runs out the others close up;
-5. byte-level BPE: token ids of each text, and the digests of the ids and of what they decode to.
+5. byte-level BPE: token ids of each text, the digests of the ids and of what they decode to, and the text's position
+   in the mixture, which is read off the files of stage 4 (a reread alone does not keep their order).
 
 Each stage takes and (but for the last) returns the columns of ``documents``.
 """
@@ -42,11 +43,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    rows = byte_bpe.encode(docs.select("doc_id", "source", "text"), *ranks).drop("text")
+    docs = mixing.positions(docs)
+    rows = byte_bpe.encode(docs.select("doc_id", "source", "position", "text"), *ranks).drop("text")
     rows = byte_bpe.decode(rows, *ranks)
     return rows.select(
         "doc_id",
         "source",
+        "position",
         (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
         "ids",
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -177,12 +177,12 @@ def group_mark(spark, sf_dir):
 
 
 # -- sort, limit, set operations ----------------------------------------------------------------------------------------
-_sql("sort_multi", "SELECT c_nationkey, c_acctbal, c_custkey FROM customer ORDER BY c_nationkey DESC, c_acctbal, c_custkey LIMIT 50")
+_sql("sort_multi", "SELECT c_nationkey, c_acctbal, c_custkey FROM customer ORDER BY c_nationkey DESC, c_acctbal, c_custkey")
 _sql("limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20, 30", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30 OFFSET 20")
 _sql("union_all", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT r_name FROM region")
 _sql("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 _sql("union_mixed", "SELECT r_name AS name FROM region UNION ALL SELECT r_name FROM region UNION SELECT n_name FROM nation UNION ALL SELECT r_name FROM region")
-_sql("union_in_join", "SELECT k, COUNT(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) u JOIN nation ON k = n_nationkey GROUP BY k ORDER BY k LIMIT 12")
+_sql("union_in_join", "SELECT k, COUNT(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) u JOIN nation ON k = n_nationkey GROUP BY k ORDER BY k")
 
 # -- subqueries -----------------------------------------------------------------------------------------------------------
 _sql("derived_table", "SELECT d.k, d.n FROM (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey) d WHERE d.n > 12")

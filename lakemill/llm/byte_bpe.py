@@ -4,8 +4,13 @@ Long texts are cut before a space (U+0020) that follows a character which is not
 splitting pattern holds a space after anything but white space, and none looks behind, so the pieces' matches are
 the whole text's. A text without such a place stays whole. Ids are packed as little-endian unsigned 32-bit integers.
 
+A run of white space is one match, but for its last character where something follows, which goes with what follows.
+The library's matcher runs out of stack on runs of some hundred thousand; so a run of ``LONG_RUN`` or more is cut out
+and its match encoded by the library's call for a single match.
+
 Defined cases: a null text is encoded as an empty one, to no ids; decoding gives the raw bytes, also where ids do
-not make up whole characters; null ids decode to no bytes. Other columns pass unchanged.
+not make up whole characters; null ids decode to no bytes; a column that has the result's name is replaced (the text
+or ids column too, if it is named as the result). Other columns pass unchanged.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ import base64
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -24,7 +30,12 @@ from lakemill.llm.words import plain, slices
 
 #: Characters of a text that are encoded at once.
 PIECE = 1 << 16
+#: White-space characters in a row that are matched here and not by the library.
+LONG_RUN = 4096
 _SAFE = re.compile(r"\S(?= )")
+#: The characters of Unicode's White_Space property, which is the pattern's \s.
+_WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_LONG = re.compile(f"[{_WHITE}]{{{LONG_RUN},}}")
 
 
 def load(path: str, pattern: str) -> tiktoken.Encoding:
@@ -46,9 +57,28 @@ def pieces(text: str, most: int = PIECE) -> Iterator[str]:
 
 
 def encode_text(encoding: tiktoken.Encoding, text: str) -> bytes:
-    if not text:
-        return b""
-    return b"".join(encoding.encode_to_numpy(part, disallowed_special=()).astype("<u4").tobytes() for part in pieces(text))
+    out, at = [], 0
+
+    def plain_part(end: int) -> None:
+        if end > at:
+            out.extend(encoding.encode_to_numpy(part, disallowed_special=()).astype("<u4").tobytes() for part in pieces(text[at:end]))
+
+    for run in _LONG.finditer(text):
+        plain_part(run.start())
+        at = run.end() if run.end() == len(text) else run.end() - 1
+        out.append(np.array(encoding._encode_single_piece(text[run.start() : at].encode()), "<u4").tobytes())
+    plain_part(len(text))
+    return b"".join(out)
+
+
+def _with(rows: pa.RecordBatch, name: str, made: pa.Array) -> pa.RecordBatch:
+    """``rows`` with a last column, in place of one of that name."""
+    kept = [i for i, c in enumerate(rows.schema.names) if c != name]
+    return pa.RecordBatch.from_arrays([*(rows.column(i) for i in kept), made], names=[*(rows.schema.names[i] for i in kept), name])
+
+
+def _schema(df: DataFrame, name: str) -> T.StructType:
+    return T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, T.BinaryType())])
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -60,10 +90,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
             texts = plain(batch.column(text))
             for a, b in slices(texts):
                 packed = [encode_text(encoding, t) for t in texts.slice(a, b - a).to_pylist()]
-                rows = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(packed, pa.binary())], names=[*rows.schema.names, ids])
+                yield _with(batch.slice(a, b - a), ids, pa.array(packed, pa.binary()))
 
-    return df.mapInArrow(work, T.StructType([*df.schema.fields, T.StructField(ids, T.BinaryType())]))
+    return df.mapInArrow(work, _schema(df, ids))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -75,15 +104,15 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
             packed = plain(batch.column(ids))
             for a, b in slices(packed):
                 raw = [encoding.decode_bytes(memoryview(x).cast("I").tolist()) if x else b"" for x in packed.slice(a, b - a).to_pylist()]
-                rows = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(raw, pa.binary())], names=[*rows.schema.names, out])
+                yield _with(batch.slice(a, b - a), out, pa.array(raw, pa.binary()))
 
-    return df.mapInArrow(work, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
+    return df.mapInArrow(work, _schema(df, out))
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of what they decode to, for all rows of ``docs``."""
-    done = decode(encode(docs.select("doc_id", F.col("text").cast("string").alias("text")), path, pattern).drop("text"), path, pattern)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    done = decode(encode(texts, path, pattern).drop("text"), path, pattern)
     return done.select(
         "doc_id",
         (F.length("ids") / 4).cast("bigint").alias("n_tokens"),

@@ -78,9 +78,9 @@ def test_media_forms_and_damage(spark):
     rows = [(media,), (None,), (b"",), (media[:-7],), (b"\0\0\0\x08free",), (media.replace(b"stsc", b"xxxx"),), (media.replace(b"stss", b"free"),)]
     out = iso_media.media_columns(spark.createDataFrame([(i, bytearray(r[0]) if r[0] is not None else None) for i, r in enumerate(rows)], "i int, media binary"))
     facts = {r.i: r.facts for r in out.collect()}
-    assert facts[0].error is None and facts[0].samples == 70 and len(facts[0].keyframes) == 5
+    assert facts[0].error is None and facts[0].tracks[0].samples == 70 and len(facts[0].tracks[0].keyframes) == 5
     assert facts[1].error == facts[2].error == "empty"
-    assert all(facts[i].error for i in (3, 4, 5)) and len(facts[6].keyframes) == 70
+    assert all(facts[i].error for i in (3, 4, 5)) and len(facts[6].tracks[0].keyframes) == 70
 
 
 def brute(text):

@@ -6,24 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakemill.llm.blocks import checkpointed
+from lakemill.llm.skew import keyed_join
+
+#: Below so many edges no id can have enough of them to matter.
+FEW = 20_000
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in ``links`` (columns a, b, both bigint); component is the least id reachable.
 
     Each step replaces edges by edges to smaller ids, until all edges lead to the least id. The minimum of an id's
-    neighbours is pre-aggregated before the shuffle, and joins on a hub are split by adaptive execution. Links from
-    an id to itself and nulls are left out; no links give no rows.
+    neighbours is pre-aggregated before the shuffle, and hubs are joined apart (see ``skew``). Links from an id to
+    itself and nulls are left out; no links give no rows.
     """
     edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = checkpointed(edges)
-    state = None
+    state, many = None, edges.count() >= FEW
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        meet = keyed_join if many else DataFrame.join
+        large = meet(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = checkpointed(large) if many else large
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
+        joined = meet(large, least, "a")
         small = joined.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
         edges = checkpointed(small.where("a != b").distinct())
         # a fingerprint of the edge set that no number of edges can overflow

@@ -14,9 +14,10 @@ the order of its rows, and so needs neither keys nor positions in the answers.
 
 from __future__ import annotations
 
-import gc
-import time
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -46,28 +47,53 @@ def bucket_count(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names. Where it is unset (tests, a laptop), one in the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset (tests, a laptop), one in the warehouse.
+
+    On a cluster a folder of one machine would do harm, so there the setting, or a warehouse with a scheme, is demanded.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and urlparse(warehouse).scheme in ("", "file"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/_checkpoints"
+
+
+#: Spark removes a query's shuffle files when it ends; what is needed later is in the written tables.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
+@contextmanager
+def cleaning(spark: SparkSession):
+    """Queries that run inside leave no shuffle files behind."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, so that its lineage is cut and any executor may be lost; and its path."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager)
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    with cleaning(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-def free(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of earlier steps, whose results are checkpointed.
+def checkpointed(df: DataFrame) -> DataFrame:
+    return written(df)[0]
 
-    Python's references to frames are given up by a background thread that looks for work once a second, so the JVM's
-    collection has to wait longer than that; the second round finds what the first released.
-    """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(1.5)
-        spark.sparkContext._jvm.System.gc()
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

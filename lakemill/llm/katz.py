@@ -290,7 +290,6 @@ def score(docs: DataFrame, held: str) -> DataFrame:
     stats = np.sum(stats, axis=0) if stats else np.zeros(TOP + 5, np.int64)
     uni, ends = Unigrams(stats[:-1]), int(stats[-1])
     first = first.where("to >= 0")
-    B.free(spark)
 
     def bigrams(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -312,7 +311,6 @@ def score(docs: DataFrame, held: str) -> DataFrame:
             have[1] += float(mass)
     d = np.array([*discounts([0, *n.tolist()]), 1.0])
     second = second.where("to >= 0")
-    B.free(spark)
 
     def work(table: pa.Table, answers: pa.Table) -> pa.Table:
         block = _Block(table)

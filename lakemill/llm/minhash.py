@@ -323,11 +323,20 @@ def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = B.checkpointed(banded.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("b < last"))
     members = B.checkpointed(keyed_join(banded, shared.select("key", "b", "n"), "key"))
-    stars = members.select(F.col("doc_id").alias("a"), "b").where("a != b").distinct()
+    stars = B.checkpointed(members.where("doc_id != b").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("n")))
     marks = reps.select("doc_id", "n_shingles", "marks")
-    facing = stars.join(marks.withColumnRenamed("doc_id", "a"), "a")
-    facing = keyed_join(facing, marks.toDF("b", "n_b", "marks_b"), "b")
-    edges = B.checkpointed(facing.mapInArrow(_agree(percent), "a bigint, b bigint"))
+
+    def agreeing(pairs: DataFrame) -> DataFrame:
+        facing = B.checkpointed(pairs.join(marks.withColumnRenamed("doc_id", "a"), "a"))
+        return B.checkpointed(keyed_join(facing, marks.toDF("b", "n_b", "marks_b"), "b").mapInArrow(_agree(percent), "a bigint, b bigint"))
+
+    # first each document's most frequent star; others only where that left both ends apart
+    best = stars.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+    edges = agreeing(best)
+    label = connected_components(edges)
+    ends = stars.select("a", "b").join(label.toDF("a", "label_a"), "a", "left").join(label.toDF("b", "label_b"), "b", "left")
+    rest = ends.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
+    edges = edges.unionAll(agreeing(rest))
 
     # buckets whose members are still apart (with two members there was no other pair)
     label = connected_components(edges).toDF("doc_id", "label")
@@ -362,16 +371,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     kept. Other columns are left out.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = B.checkpointed(docs.mapInArrow(_describe, _DESCRIBED))
+    full, full_at = B.written(docs.mapInArrow(_describe, _DESCRIBED))
+    described = B.checkpointed(full.select("doc_id", "n_shingles", "high", "low"))
     sized = described.where("n_shingles > 0 and doc_id is not null")
     name = ["n_shingles", "high", "low"]
     classes = B.checkpointed(sized.groupBy(*name).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     alone = classes.select(F.col("rep").alias("doc_id"))
-    reps = sized.join(alone, "doc_id", "left_semi").dropDuplicates(["doc_id", "high", "low"])
+    reps = full.where("n_shingles > 0 and doc_id is not null").join(alone, "doc_id", "left_semi")
 
     # clusters dealt into chunks of bounded size
-    clusters = connected_components(candidate_edges(B.checkpointed(reps), percent)).toDF("doc_id", "cluster")
-    member = B.checkpointed(clusters.join(reps.select("doc_id", "n_shingles"), "doc_id"))
+    reps, path = B.written(reps.select("doc_id", "n_shingles", "bands", "marks"))
+    clusters = connected_components(candidate_edges(reps, percent)).toDF("doc_id", "cluster")
+    member = B.checkpointed(clusters.join(reps.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]), "doc_id"))
     size = member.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count("*") / CHUNK_DOCS), F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks")
     )
@@ -384,6 +395,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         binned = rows.withColumn("bin", F.pmod(F.xxhash64(*keys), F.lit(bins)).cast("int"))
         return B.checkpointed(binned.groupBy("bin").applyInArrow(work, _LINKS))
 
+    B.discard(docs.sparkSession, full_at, path)
     # only members' texts are read again into sets
     rows = only(docs, member, "doc_id").join(member.drop("n_shingles"), "doc_id")
     links = compare(rows.withColumn("text", F.col("text").cast("binary")).transform(lambda r: r.mapInArrow(_sets, r.schema)), ["cluster", "chunk"], _within(percent), member)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.blocks import checkpointed
+from lakemill.llm.blocks import checkpointed, cleaning
 
 #: At most so many keys are joined by broadcast, and only keys with at least so many rows.
 HOT_KEYS, HOT_ROWS = 1000, 500
@@ -21,7 +21,8 @@ def keyed_join(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner"
     sides are read more than once and should be cheap to read again.
     """
     counts = left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= HOT_ROWS)
-    hot = counts.orderBy(F.desc("_n")).limit(HOT_KEYS).select(*keys).collect()
+    with cleaning(left.sparkSession):
+        hot = counts.orderBy(F.desc("_n")).limit(HOT_KEYS).select(*keys).collect()
     if not hot:
         return left.join(right, [*keys], how)
     values = [c for c in right.columns if c not in keys]

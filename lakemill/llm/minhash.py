@@ -39,6 +39,8 @@ ROWS, BANDS = 7, 48
 SLOTS = ROWS * BANDS
 #: A chunk of a cluster holds about so many documents and shingles at most; a task gets chunks of so many shingles.
 CHUNK_DOCS, CHUNK_SHINGLES, TASK_SHINGLES = 4096, 1 << 21, 1 << 22
+#: Signatures of a bucket that are compared at once.
+GROUP_MARKS = 1024
 #: Hubs that each chunk of a large cluster shows to all others.
 HUBS = 8
 
@@ -345,10 +347,10 @@ def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
     apart = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main"))
     apart = B.checkpointed(
-        apart.where("labels > 1").select("key", "main", F.ceil(F.col("n") / CHUNK_DOCS).cast("int").alias("chunks"), F.lit(0).alias("zero"))
+        apart.where("labels > 1").select("key", "main", F.ceil(F.col("n") / GROUP_MARKS).cast("int").alias("chunks"), F.lit(0).alias("zero"))
     )
     rows = keyed_join(labelled, apart, "key").withColumn("outside", F.col("label") != F.col("main"))
-    outside = rows.where("outside").groupBy("key").agg(F.ceil(F.count("*") / CHUNK_DOCS).cast("int").alias("parts"))
+    outside = rows.where("outside").groupBy("key").agg(F.ceil(F.count("*") / GROUP_MARKS).cast("int").alias("parts"))
     rows = keyed_join(rows, outside, "key").withColumn("home", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("parts")).cast("int"))
     until = lambda c: F.sequence(F.col("zero"), F.col(c) - 1)

@@ -49,21 +49,20 @@ FROM d JOIN least ON id = doc_id LEFT JOIN n USING (doc_id)"""
 
 MIX = """
 WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-t AS (SELECT source, n, CAST(greatest(1, floor(1000 * sqrt(n) / sum(sqrt(n)) OVER () + 0.5)) AS BIGINT) AS m, row_number() OVER (ORDER BY source) AS k FROM c),
-h AS (SELECT list(m ORDER BY k) AS ms, CAST(sum(m) AS BIGINT) AS h FROM t),
-run(slot, done, k) AS (
-  SELECT CAST(-1 AS BIGINT), list_transform(ms, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM h
+t AS (SELECT source, n, CAST(floor(sqrt(n * 1e12)) AS HUGEINT) AS m, row_number() OVER (ORDER BY source) AS k, CAST((n + 3) // 4 AS BIGINT) AS blocks FROM c),
+h AS (SELECT list(m ORDER BY k) AS ms, list(blocks ORDER BY k) AS bs, CAST(sum(m) AS HUGEINT) AS h, CAST(sum(blocks) AS BIGINT) AS total FROM t),
+run(slot, done, k, count) AS (
+  SELECT CAST(-1 AS BIGINT), list_transform(ms, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM h
   UNION ALL
-  SELECT slot + 1, list_transform(range(1, len(ms) + 1), lambda i: done[i] + CASE WHEN i = pick THEN 1 ELSE 0 END), pick FROM (
-    SELECT slot, done, ms, h, list_aggregate(list_transform(list_filter(range(1, len(ms) + 1), lambda i: done[i] < ms[i] AND done[i] * h // ms[i] <= slot + 1),
-      lambda i: -(-(done[i] + 1) * h // ms[i]) * 100000 + i), 'min') % 100000 AS pick FROM run, h WHERE slot + 1 < h)
+  SELECT slot + 1, list_transform(range(1, len(ms) + 1), lambda i: done[i] + CASE WHEN i = pick THEN 1 ELSE 0 END), coalesce(pick, 0), count + CASE WHEN pick > 0 THEN 1 ELSE 0 END FROM (
+    SELECT slot, done, count, ms, h, CAST(list_aggregate(list_transform(list_filter(range(1, len(ms) + 1), lambda i: done[i] < bs[i] AND done[i] * h // ms[i] <= slot + 1),
+      lambda i: -(-(done[i] + 1) * h // ms[i]) * 100000 + i), 'min') % 100000 AS BIGINT) AS pick FROM run, h WHERE count < total)
 ),
-plan AS (SELECT slot, k, done[k] AS j FROM run WHERE slot >= 0),
+plan AS (SELECT slot, k, done[k] AS j FROM run WHERE k > 0),
 r AS (SELECT doc_id, source, t.k, m, h, (row_number() OVER (PARTITION BY source ORDER BY md5('23:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1) AS rank FROM documents JOIN t USING (source), h),
-b AS (SELECT *, rank // 4 AS block FROM r),
-s AS (SELECT b.*, block // m * h + plan.slot AS tick FROM b JOIN plan ON plan.k = b.k AND plan.j = block % m + 1),
-gap AS (SELECT min(((n + 3) // 4) // m * h + plan.slot) AS g FROM t, h, plan WHERE plan.k = t.k AND plan.j = ((n + 3) // 4) % m + 1)
-SELECT doc_id, source, m / h AS target_weight, CAST(block AS BIGINT) AS block, CAST(tick AS BIGINT) AS slot,
+s AS (SELECT r.*, rank // 4 AS block, plan.slot AS tick FROM r JOIN plan ON plan.k = r.k AND plan.j = rank // 4 + 1),
+gap AS (SELECT min(blocks * h // m) AS g FROM t, h)
+SELECT doc_id, source, CAST(m AS DOUBLE) / CAST(h AS DOUBLE) AS target_weight, CAST(block AS BIGINT) AS block, CAST(tick AS BIGINT) AS slot,
   CAST(row_number() OVER (ORDER BY tick, rank) - 1 AS BIGINT) AS position, tick < g AS on_target
 FROM s, gap"""
 

@@ -1,8 +1,10 @@
 """Sharding, mixing, chat formatting, the pipeline, and SQL against DuckDB."""
 
 import json
+import math
 import os
 import zlib
+from collections import Counter
 
 import duckdb
 import pytest
@@ -37,23 +39,38 @@ def test_ranks_of_a_hot_group(spark):
         assert [k for _, k in own] == list(range(len(own))) and {r.total for r in rows if r.g == g} == {len(own)}
 
 
-def test_schedule_stays_within_a_block():
-    for ticks in ({"a": 1}, {"a": 1, "b": 1}, {"a": 7, "b": 2, "c": 2}, {f"s{i}": 1 + i * i % 37 for i in range(25)}):
-        plan, period = mixing.schedule(ticks), sum(ticks.values())
-        assert len(plan) == period
-        done = dict.fromkeys(ticks, 0)
-        for source, j, slot in plan:
-            done[source] += 1
-            assert done[source] == j
-            assert all(abs(done[s] - ticks[s] * (slot + 1) / period) < 1 for s in ticks)
+@pytest.mark.parametrize(
+    "weights",
+    [{"a": 1}, {"a": 0.5, "b": 0.5}, {"a": 7, "b": 2, "c": 2.5}, {f"s{i}": 1 + i * i % 37 for i in range(25)}, {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3, "d": 0.0001}, {"hot": 0.99, **{f"s{i}": 0.000002 for i in range(500)}}],
+)
+def test_schedule_stays_within_a_block_of_the_asked_weights(weights):
+    slots = 100_000
+    total = sum(weights.values())
+    whole = mixing.whole_weights(weights)
+    plan = mixing.schedule(whole, {s: math.ceil(slots * w / total) + 3 for s, w in weights.items()})
+    done = dict.fromkeys(weights, 0)
+    for n, (source, j, slot) in enumerate(plan[:slots]):
+        done[source] += 1
+        assert done[source] == j and slot == n
+        # a source's distance only grows while it waits, so it is looked at when it runs, before and after
+        share = weights[source] / total
+        assert abs(j - share * (slot + 1)) < 1 + 1e-6 and abs(j - 1 - share * slot) < 1 + 1e-6
+    assert all(abs(done[s] - slots * w / total) < 1 + 1e-6 for s, w in weights.items())
+
+
+def test_schedule_of_sources_that_run_out():
+    plan = mixing.schedule({"a": 1, "b": 3}, {"a": 5, "b": 3})
+    assert [p[:2] for p in plan if p[0] == "a"] == [("a", j) for j in range(1, 6)] and len(plan) == 8
+    assert [p[2] for p in plan] == sorted({p[2] for p in plan})
+    assert mixing.schedule({}, {}) == []
 
 
 def test_mixing(spark, odd, empty):
-    rows, _ = mixing.mix(odd, block_rows=1)
-    assert rows.count() == len(ODD) and mixing.mix(empty)[0].count() == 0
+    rows, blocks = mixing.mix(odd, block_rows=1)
+    assert rows.count() == blocks == len(ODD) and mixing.mix(empty)[0].count() == 0
     assert mixing.mixed_order(odd).columns == odd.columns
     df = spark.range(900).selectExpr("id as doc_id", "case when id % 9 < 6 then 'big' when id % 9 < 8 then 'mid' end as source")
-    rows = mixing.mix(df, {"big": 1, "mid": 3}, block_rows=5)[0].orderBy("_mix_slot", "_mix_rank").collect()
+    rows = mixing.mix(df, {"big": 1, "mid": 3}, block_rows=5)[0].orderBy("_mix_seq", "_mix_rank").collect()
     assert len(rows) == 900 and len({r.doc_id for r in rows}) == 900
     count = {"big": 0, "mid": 0}
     for n, r in enumerate(rows, 1):
@@ -62,8 +79,37 @@ def test_mixing(spark, odd, empty):
         count[r.source] += 1
         assert abs(count["big"] - n / 4) < 5 and abs(count["mid"] - 3 * n / 4) < 5
     assert n >= 260 and rows[-1].source is None  # no weight: after the others
-    with pytest.raises(ValueError):
-        mixing.mix(spark.range(mixing.MOST_SOURCES + 5).selectExpr("id as doc_id", "cast(id as string) as source"))
+    assert {r._mix_weight for r in rows} == {0.25, 0.75, 0.0}
+    twice = df.unionAll(df.limit(20))  # repeated rows
+    assert mixing.mix(twice)[0].count() == 920
+
+
+def test_mixing_of_many_sources(spark):
+    """Sources past the largest share one place in the schedule; each keeps its pace there."""
+    df = spark.range(6000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('s', id % 200)) as source")
+    rows, blocks = mixing.mix(df, most_sources=2, block_rows=1)
+    rows = rows.orderBy("_mix_seq", "_mix_rank").collect()
+    assert len(rows) == blocks == 6000 and len({r.doc_id for r in rows}) == 6000
+    n = Counter(r.source for r in rows)
+    total = sum(math.sqrt(x) for x in n.values())
+    seen = Counter()
+    for at, r in enumerate(rows, 1):
+        if not r._mix_on_target:
+            break
+        seen[r.source] += 1
+        if at % 100 == 0:
+            assert abs(seen["hot"] - math.sqrt(n["hot"]) / total * at) < 1.01
+            assert all(abs(seen[s] - math.sqrt(n[s]) / total * at) < 4 for s in n if s != "hot")
+    assert at > 3000
+    half = mixing.mix(df, {"hot": 1.0}, most_sources=2)[0].orderBy("_mix_seq", "_mix_rank").collect()
+    assert [r.source for r in half[:2000]] == ["hot"] * 2000 and len(half) == 6000
+
+
+def test_blocks_grow_with_the_input(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 50)
+    df = spark.range(1000).selectExpr("id as doc_id", "concat('s', id % 3) as source")
+    rows, blocks = mixing.mix(df)
+    assert blocks <= 53 and rows.agg({"_mix_block": "max"}).first()[0] < 18
 
 
 def test_mixed_order_is_the_order(spark):

@@ -7,13 +7,17 @@ packed message of as many entries, in the same order. A block works its keys out
 the order of its rows, and so needs neither keys nor positions in the answers.
 
 * A key that a third of all documents hold takes one entry for each block, never one for each document.
-* Blocks and buckets follow ``spark.sql.shuffle.partitions``, so that memory for each stays the same when that
-  setting follows the size of the data.
+* Blocks and buckets follow the bytes of the texts (``BLOCK_BYTES``, ``BUCKET_BYTES``), whatever the number of shuffle
+  partitions is set to, so that memory for each stays the same at any size.
+* Messages number blocks times buckets. Past ``MOST_MESSAGES`` they go over hubs: a sender packs what goes to
+  neighbouring buckets into one row, and a hub, which serves some senders and some buckets, packs the rows anew, one
+  for each bucket. So rows number about blocks times the root of buckets, and the other way round.
 * All is recomputed from shuffle files or the input if an executor is lost; nothing depends on the order of rows.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -27,8 +31,8 @@ from pyspark.sql import types as T
 
 from lakemill.llm.words import SLICE_BYTES
 
-#: Blocks and buckets for each shuffle partition. A step sends blocks times buckets messages at most.
-BLOCKS_PER_PARTITION, BUCKETS_PER_PARTITION = 3, 1
+#: Bytes of text for each block and each bucket, and rows of messages of one step that go without hubs.
+BLOCK_BYTES, BUCKET_BYTES, MOST_MESSAGES = 6 << 20, 18 << 20, 4_000_000
 
 MESSAGE = "to int, sender int, data binary"
 _MESSAGE = pa.schema([("to", pa.int32()), ("sender", pa.int32()), ("data", pa.binary())])
@@ -38,12 +42,10 @@ def session() -> SparkSession:
     return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
 
-def block_count(spark: SparkSession) -> int:
-    return max(8, BLOCKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def bucket_count(spark: SparkSession) -> int:
-    return max(8, BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def text_bytes(docs: DataFrame, column: str = "text") -> int:
+    """Bytes of all texts: one pass over one column."""
+    with cleaning(docs.sparkSession):
+        return docs.agg(F.sum(F.octet_length(F.col(column).cast("string")).cast("bigint"))).first()[0] or 0
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -127,13 +129,16 @@ def unpack(column: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, int, pa.Ar
         yield begin, n, pa.array(texts, pa.large_binary())
 
 
-def to_blocks(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """(block, doc_id, text compressed, the columns to keep), one row for each row of ``docs``."""
-    spark = docs.sparkSession
+def to_blocks(docs: DataFrame, blocks: int, keep: list[str] = ()) -> DataFrame:
+    """(block, doc_id, text compressed, the columns to keep), one row for each row of ``docs``.
+
+    Rows with a null doc_id are dealt by their text.
+    """
     fields = [T.StructField("block", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("text", T.BinaryType())]
+    number = F.col("doc_id").cast("bigint")
     rows = docs.select(
-        F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(block_count(spark))).cast("int").alias("block"),
-        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.pmod(F.when(number.isNull(), F.xxhash64(F.col("text").cast("string"))).otherwise(F.xxhash64(number)), F.lit(blocks)).cast("int").alias("block"),
+        number.alias("doc_id"),
         F.col("text").cast("string").cast("binary").alias("text"),
         *keep,
     )
@@ -173,16 +178,94 @@ def one(column: pa.ChunkedArray) -> int:
     return column[0].as_py()
 
 
-def ask(blocks: DataFrame, work: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    """Messages that ``work`` makes of each block."""
-    return blocks.groupBy("block").applyInArrow(work, MESSAGE)
-
-
-def answer(messages: DataFrame, work: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    """Each bucket's messages go to ``work``, whose messages go back to blocks."""
-    return messages.groupBy("to").applyInArrow(work, MESSAGE)
-
-
-def follow(blocks: DataFrame, answers: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
-    """Each block with the answers it got. A block without answers gets an empty table."""
-    return blocks.groupBy("block").cogroup(answers.withColumnRenamed("to", "block").groupBy("block")).applyInArrow(work, schema)
+def _pack(rows: list[tuple[int, int, bytes]]) -> bytes:
+    """Messages in one value: their number, then (to, sender, length) of each, then their data."""
+    head = np.array([(to, sender, len(data)) for to, sender, data in rows], np.int64).tobytes()
+    return b"".join([len(rows).to_bytes(8, "little"), head, *(data for _, _, data in rows)])
+
+
+def _unpack(data) -> list[tuple[int, int, bytes]]:
+    n = int.from_bytes(memoryview(data)[:8], "little")
+    out, at = [], 8 + 24 * n
+    for to, sender, length in np.frombuffer(data, np.int64, 3 * n, 8).reshape(n, 3).tolist():
+        out.append((to, sender, bytes(memoryview(data)[at : at + length])))
+        at += length
+    return out
+
+
+def _opened(table: pa.Table) -> pa.Table:
+    """A table of packed messages as a table of messages; other columns are repeated."""
+    rows, extra = [], [c for c in table.column_names if c not in ("to", "sender", "data")]
+    index = []
+    for i, data in enumerate(table.column("data")):
+        part = _unpack(data.as_buffer())
+        rows += part
+        index += [i] * len(part)
+    out = mail(rows)
+    for c in extra:
+        out = out.append_column(c, table.column(c).take(pa.array(index, pa.int64())))
+    return out
+
+
+class Post:
+    """How the blocks and buckets of some bytes of text exchange messages."""
+
+    def __init__(self, size: int):
+        self.blocks, self.buckets = max(8, -(-size // BLOCK_BYTES)), max(8, -(-size // BUCKET_BYTES))
+        self.hubs = self.blocks * self.buckets > MOST_MESSAGES
+
+    def _sent(self, grouped, work: Callable[..., pa.Table], senders: int, receivers: int) -> DataFrame:
+        if not self.hubs:
+            return grouped.applyInArrow(work, MESSAGE)
+        wide, many = max(1, math.isqrt(receivers)), max(1, math.isqrt(senders))
+
+        def packed(table: pa.Table) -> pa.Table:
+            """Rows to hubs: hub (in ``to``), and all messages that go over it."""
+            by_hub: dict[int, list] = {}
+            for to, sender, data in zip(*(table.column(c).to_pylist() for c in ("to", "sender", "data")), strict=True):
+                by_hub.setdefault(to // wide * (senders // many + 1) + sender // many if to >= 0 else -1, []).append((to, sender, data))
+            return mail([(hub, 0, _pack(rows)) for hub, rows in by_hub.items()])
+
+        def relay(table: pa.Table) -> pa.Table:
+            by_receiver: dict[int, list] = {}
+            for data in table.column("data"):
+                for row in _unpack(data.as_buffer()):
+                    by_receiver.setdefault(row[0], []).append(row)
+            return mail([(to, 0, _pack(rows)) for to, rows in by_receiver.items()])
+
+        # Spark tells groups from cogroups by the number of arguments
+        two = work.__code__.co_argcount == 2
+        sent = grouped.applyInArrow((lambda a, b: packed(work(a, b))) if two else (lambda a: packed(work(a))), MESSAGE)
+        return sent.groupBy("to").applyInArrow(relay, MESSAGE)
+
+    def _open(self, table: pa.Table) -> pa.Table:
+        return _opened(table) if self.hubs else table
+
+    def ask(self, blocks: DataFrame, work: Callable[[pa.Table], pa.Table]) -> DataFrame:
+        """Messages that ``work`` makes of each block."""
+        return self._sent(blocks.groupBy("block"), work, self.blocks, self.buckets)
+
+    def answer(self, messages: DataFrame, work: Callable[[pa.Table], pa.Table]) -> DataFrame:
+        """Each bucket's messages go to ``work``, whose messages go back to blocks."""
+        opened = self._open
+        return self._sent(messages.groupBy("to"), lambda table: work(opened(table)), self.buckets, self.blocks)
+
+    def ask_again(self, blocks: DataFrame, answers: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
+        """Messages that ``work`` makes of each block and the answers it got; a block without answers gets an empty table."""
+        opened = self._open
+        return self._sent(self._cogrouped(blocks, answers), lambda table, got: work(table, opened(got)), self.blocks, self.buckets)
+
+    def follow(self, blocks: DataFrame, answers: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
+        """What ``work`` makes of each block and the answers it got."""
+        opened = self._open
+        return self._cogrouped(blocks, answers).applyInArrow(lambda table, got: work(table, opened(got)), schema)
+
+    def reports(self, answers: DataFrame) -> list[bytes]:
+        """What buckets have sent to the driver (to < 0), a value for each bucket."""
+        with cleaning(answers.sparkSession):
+            rows = [bytes(r.data) for r in answers.where("to < 0").select("data").collect()]
+        return [data for r in rows for _, _, data in _unpack(r)] if self.hubs else rows
+
+    @staticmethod
+    def _cogrouped(blocks: DataFrame, answers: DataFrame):
+        return blocks.groupBy("block").cogroup(answers.withColumnRenamed("to", "block").groupBy("block"))

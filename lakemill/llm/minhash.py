@@ -38,9 +38,9 @@ SHINGLE = 5
 ROWS, BANDS = 7, 48
 SLOTS = ROWS * BANDS
 #: A chunk of a cluster holds about so many documents and shingles at most; a task gets chunks of so many shingles.
-CHUNK_DOCS, CHUNK_SHINGLES, TASK_SHINGLES = 4096, 1 << 21, 1 << 22
-#: Signatures of a bucket that are compared at once.
-GROUP_MARKS = 1024
+CHUNK_DOCS, CHUNK_SHINGLES, TASK_SHINGLES = 4096, 1 << 21, 1 << 20
+#: Signatures of a bucket that are compared at once, and that a task gets.
+GROUP_MARKS, TASK_MARKS = 1024, 4096
 #: Hubs that each chunk of a large cluster shows to all others.
 HUBS = 8
 
@@ -359,7 +359,9 @@ def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
     still = rows.select(*kept, F.col("home").alias("chunk"), F.explode(until("parts")).alias("part"), ((F.col("chunks") == 1) & F.col("outside") & (F.col("own") == F.col("part"))).alias("turn"))
     moving = rows.where("outside and chunks > 1").select(*kept, F.explode(until("chunks")).alias("chunk"), F.col("own").alias("part"), F.lit(True).alias("turn"))
     found = still.unionAll(moving).join(marks, "doc_id")
-    bins = B.block_count(reps.sparkSession)
+    with B.cleaning(reps.sparkSession):
+        signatures_held = rows.agg(F.sum("parts")).first()[0] or 0
+    bins = max(8, -(-signatures_held // TASK_MARKS))
     found = found.withColumn("bin", F.pmod(F.xxhash64("key", "chunk", "part"), F.lit(bins)).cast("int"))
     return edges.unionAll(B.checkpointed(found.groupBy("bin").applyInArrow(_apart(percent), "a bigint, b bigint")))
 
@@ -393,7 +395,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
 
     def compare(rows: DataFrame, keys: list[str], work, shingles: DataFrame) -> DataFrame:
-        bins = max(8, -(-(shingles.agg(F.sum("n_shingles")).first()[0] or 0) // TASK_SHINGLES), B.block_count(docs.sparkSession))
+        with B.cleaning(docs.sparkSession):
+            bins = max(8, -(-(shingles.agg(F.sum("n_shingles")).first()[0] or 0) // TASK_SHINGLES))
         binned = rows.withColumn("bin", F.pmod(F.xxhash64(*keys), F.lit(bins)).cast("int"))
         return B.checkpointed(binned.groupBy("bin").applyInArrow(work, _LINKS))
 

@@ -2,19 +2,24 @@
 
 Recompression parses a sequence in rounds. A round names each run of one symbol, then deals all symbols to two
 sides by a bit of their name and names each pair (left side, right side). A name is a 64-bit function of what it
-stands for, so all executors give equal content equal names and the rounds need no shared dictionary. Each symbol
-carries the range of words that its parse depended on. Wherever a window of words contains that whole range, the
-parse finds the same symbol, whatever stands around the window.
+stands for, so all executors give equal content equal names: names are global without a dictionary that every round
+would have to build and join back by a shuffle of all tokens. Each symbol carries the range of words that its parse
+depended on. Wherever a window of words contains that whole range, the parse finds the same symbol, whatever stands
+around the window.
 
 1. Each window of ``width`` words takes, among the symbols of the last round whose range lies inside it, the one
    with the least hash: equal windows take equal symbols. Blocks ask buckets which of these symbols more than one
    document holds; a few symbols stand for some ten windows each.
 2. Only windows with a shared symbol (and those that contain no such range at all, as in long runs of one word) can
-   be repeats. Blocks send their 96-bit names with the least doc_id that has them; buckets answer with one bit:
-   whether another block has it in a document with a smaller id.
-3. Blocks cut the words that repeated windows cover.
+   be repeats. Such a window is named by its symbols: those of the last round that lie inside it, the symbols of the
+   round before that lie beside them, and so on down to the words at its ends (``window_names``). Equal windows have
+   equal symbols in equal places, and the symbols spell out the window. Beside its name goes a check that is made
+   from the words by other, independent hashes; two windows are equal if name and check agree.
+3. Blocks send names and checks with the least doc_id that has them; buckets answer with one bit: whether another
+   block has it in a document with a smaller id. Blocks cut the words that repeated windows cover.
 
-Ids of names: two different windows among 10**13 agree with a chance below 10**-2 (96 bits).
+Different words agree in one of the two word hashes with a chance of 2**-56, in both with 2**-112; two different
+windows among 10**13 agree in name and check with a chance below 10**-7.
 
 Defined cases: a null text has no words; a text shorter than the window is kept; rows with an equal doc_id count as
 one document, so they don't make each other repeats; a null doc_id counts as larger than any other; windows inside
@@ -38,12 +43,13 @@ ROUNDS = 4
 _LAST_ID = np.iinfo(np.int64).max
 
 
-def parse(names: np.ndarray, bounds: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of the last round, and the word range that each depended on.
+def parse(names: np.ndarray, bounds: np.ndarray, rounds: int) -> list[tuple[np.ndarray, ...]]:
+    """For the words and each round: names of symbols, where each begins, and the word range that each depended on.
 
     A range that reaches over a text's end lies in no window of it.
     """
     n = len(names)
+    levels = [(names,)]  # of words all is plain
     at = lows = np.arange(n)  # at: where a symbol begins
     highs = np.arange(1, n + 1)
     first = np.zeros(n, bool)
@@ -88,34 +94,72 @@ def parse(names: np.ndarray, bounds: np.ndarray, rounds: int) -> tuple[np.ndarra
         names[i] = pair_name(names[i], names[i + 1], 2 * r + 2)
         keep = ~second
         names, lows, highs, first, at = names[keep], low[keep], high[keep], first[keep], at[keep]
-    return names, lows, highs
+        levels.append((names, at.astype(np.int32), lows.astype(np.int32), highs.astype(np.int32)))
+    return levels
 
 
 _STEP = int(GOLDEN) | 1
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number, and of its inverse, from 0 to n."""
+    out = []
+    for base in (_STEP, pow(_STEP, -1, 2**64)):
+        powers = np.ones(n + 1, np.uint64)
+        powers[1:] = U64(base)
+        np.multiply.accumulate(powers, out=powers)
+        out.append(powers)
+    return out[0], out[1]
+
+
 def _range_names(h: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
     """Names of word ranges, from a prefix sum of word hashes times powers of an odd number."""
     n = len(h)
-    powers = np.ones(n + 1, np.uint64)
-    powers[1:] = U64(_STEP)
-    np.multiply.accumulate(powers, out=powers)
-    inverse = np.ones(n + 1, np.uint64)
-    inverse[1:] = U64(pow(_STEP, -1, 2**64))
-    np.multiply.accumulate(inverse, out=inverse)
+    powers, inverse = _powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(h * powers[:-1], out=sums[1:])
     lows, highs = np.clip(lows, 0, n), np.clip(highs, 0, n)
     return (sums[highs] - sums[lows]) * inverse[lows]
 
 
-def window_symbols(h: np.ndarray, bounds: np.ndarray, where: np.ndarray, width: int, rounds: int) -> np.ndarray:
+def window_names(levels: list[tuple[np.ndarray, ...]], where: np.ndarray, width: int) -> np.ndarray:
+    """A name for each window (starting at ``where``, in order) from the symbols that lie inside it.
+
+    From the last round to the words: symbols whose range lies inside the window and that the rounds after have not
+    covered, each times a power of an odd number for its place in the window, are summed.
+    """
+    n = len(levels[0][0])
+    powers, inverse = _powers(n)
+    total = np.zeros(len(where), np.uint64)
+    where = where.astype(np.int32)
+    left = right = where  # the words that symbols cover so far; none yet
+    for names, at, lows, highs in reversed(levels[1:]):
+        lo, hi = np.searchsorted(lows, where, "left"), np.searchsorted(highs, where + np.int32(width), "right")
+        hi = np.maximum(lo, hi)
+        ends = np.append(at, np.int32(n))
+        sums = np.zeros(len(names) + 1, np.uint64)
+        np.cumsum(names * powers[at], out=sums[1:])
+        none = left == right
+        inner = np.where(none, lo, np.searchsorted(at, left))
+        outer = np.where(none, lo, np.searchsorted(at, right))
+        total += sums[inner] - sums[lo] + sums[hi] - sums[outer]
+        some = hi > lo
+        left, right = np.where(some, ends[lo], left), np.where(some, ends[hi], right)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(levels[0][0] * powers[:-1], out=sums[1:])
+    total += sums[left] - sums[where] + sums[where + width] - sums[right]
+    return mix(total * inverse[where])
+
+
+def window_symbols(levels: list[tuple[np.ndarray, ...]], where: np.ndarray, width: int) -> np.ndarray:
     """For each window (starting at ``where``) the hash of the symbol it takes; 0 if it holds none."""
-    n = len(h)
+    n = len(levels[0][0])
     if not len(where):
         return np.zeros(0, np.uint64)
-    names, lows, highs = parse(h, bounds, rounds)
-    keys = mix(names ^ _range_names(h, lows, highs)) | U64(1)
+    if len(levels) == 1:
+        return np.zeros(len(where), np.uint64)
+    names, _, lows, highs = levels[-1]
+    keys = mix(names ^ _range_names(levels[0][0], lows, highs)) | U64(1)
     # ranges come in order, so those inside a window are neighbours
     begun = np.zeros(n + 3, np.int64)
     np.cumsum(np.bincount(lows + 2, minlength=n + 3), out=begun)  # begun[i + 1]: ranges with low < i
@@ -136,17 +180,32 @@ def window_symbols(h: np.ndarray, bounds: np.ndarray, where: np.ndarray, width:
         level += 1
 
 
+def _window_starts(bounds: np.ndarray, width: int) -> np.ndarray:
+    """Where windows of ``width`` words begin that lie inside one text."""
+    counts = np.maximum(np.diff(bounds) - width + 1, 0)
+    return np.repeat(bounds[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
 class _Slice:
     def __init__(self, begin: int, end: int, texts: pa.Array, ids: np.ndarray, width: int, names: bool):
-        self.begin, self.end, self.texts = begin, end, texts
+        self.begin, self.end, self.texts, self.width = begin, end, texts, width
         self.words = split(texts)
-        h = self.words.hashes()
-        self.name, self.where = window_hashes(h, self.words.bounds, width)
-        self.symbols = window_symbols(h, self.words.bounds, self.where, width, ROUNDS)
+        h, *self.other = self.words.several_hashes((0, 1) if names else (0,))
+        self.where = _window_starts(self.words.bounds, width)
+        self.levels = parse(h, self.words.bounds, ROUNDS)
+        self.symbols = window_symbols(self.levels, self.where, width)
         doc = self.words.doc_of_word()[self.where] if len(self.where) else np.zeros(0, np.int64)
         self.ids = ids[begin + doc]
-        if names:
-            self.extra = (window_hashes(mix(h ^ GOLDEN), self.words.bounds, width, 1)[0] >> U64(32)).astype(np.uint32)
+
+    def names(self) -> tuple[np.ndarray, np.ndarray]:
+        """Names and checks of the windows that may be repeats."""
+        where = self.where[self.maybe]
+        if not len(where):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        checks, _ = window_hashes(self.other[0], np.array([0, self.words.n]), self.width, 1)
+        out = window_names(self.levels, where, self.width), checks[where]
+        self.levels = self.other = None
+        return out
 
 
 def _ids(table: pa.Table) -> np.ndarray:
@@ -193,12 +252,13 @@ def _name_request(table: pa.Table, answers: pa.Table, width: int, buckets: int):
         s.maybe = s.symbols == 0
         if len(shared):
             s.maybe |= shared[np.minimum(at, len(shared) - 1)] == s.symbols
-        names.append(s.name[s.maybe])
-        extras.append(s.extra[s.maybe])
+        name, check = s.names()
+        names.append(name)
+        extras.append(check)
         ids.append(s.ids[s.maybe])
-        s.symbols = s.name = s.extra = None
+        s.symbols = None
     cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    names, extras, ids = cat(names, np.uint64), cat(extras, np.uint32), cat(ids, np.int64)
+    names, extras, ids = cat(names, np.uint64), cat(extras, np.uint64), cat(ids, np.int64)
     order = np.lexsort((extras, names))
     names, extras = names[order], extras[order]
     heads = np.flatnonzero(first_of_runs(names) | first_of_runs(extras))
@@ -232,8 +292,8 @@ def _answer_names(table: pa.Table) -> pa.Table:
     to, parts = B.one(table.column("to")), []
     for data in table.column("data"):
         raw = np.frombuffer(data.as_buffer(), np.uint8)
-        n = len(raw) // 20
-        parts.append((raw[: 8 * n].view(np.uint64), raw[8 * n : 16 * n].view(np.int64), raw[16 * n :].view(np.uint32)))
+        n = len(raw) // 24
+        parts.append((raw[: 8 * n].view(np.uint64), raw[8 * n : 16 * n].view(np.int64), raw[16 * n :].view(np.uint64)))
     keys, ids, extras = (np.concatenate([p[i] for p in parts]) for i in range(3))
     order = np.lexsort((extras, keys))
     heads = np.flatnonzero(first_of_runs(keys[order]) | first_of_runs(extras[order]))
@@ -253,10 +313,10 @@ def substring_dedup(docs: DataFrame, width: int = 50, as_is: bool = False) -> Da
     ``kept_text`` has the words that stay, joined by one space; with ``as_is`` a text that loses nothing stays as it
     is. See the module for the rules.
     """
-    spark = docs.sparkSession
-    buckets = B.bucket_count(spark)
+    post = B.Post(B.text_bytes(docs))
+    buckets = post.buckets
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed", "removed", "kept_text")]
-    blocks = B.to_blocks(docs, [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else [])
+    blocks = B.to_blocks(docs, post.blocks, [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else [])
 
     def symbols(table: pa.Table) -> pa.Table:
         keys, multi = _shared_request(table, width)
@@ -314,13 +374,13 @@ def substring_dedup(docs: DataFrame, width: int = 50, as_is: bool = False) -> Da
             labels.append("rest")
         return pa.table(out, names=labels)
 
-    shared = B.answer(B.ask(blocks, symbols), _answer_shared)
-    earlier = B.answer(B.follow(blocks, shared, names, B.MESSAGE), _answer_names)
+    shared = post.answer(post.ask(blocks, symbols), _answer_shared)
+    earlier = post.answer(post.ask_again(blocks, shared, names), _answer_names)
     answers = shared.withColumn("round", F.lit(1)).unionAll(earlier.withColumn("round", F.lit(2)))
     fields = T.StructType.fromDDL("doc_id bigint, n_words bigint, n_removed bigint, removed array<struct<first:bigint,past:bigint>>, kept_text string")
     if rest:
         fields = fields.add("rest", blocks.schema["rest"].dataType)
-    out = B.follow(blocks, answers, cut, fields)
+    out = post.follow(blocks, answers, cut, fields)
     return out.select("doc_id", "n_words", "n_removed", "removed", "kept_text", *[F.col("rest").getField(c).alias(c) for c in rest])
 
 

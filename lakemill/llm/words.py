@@ -52,8 +52,12 @@ class Words:
 
         Two different words agree with a chance of at most 2**-56.
         """
+        return self.several_hashes((seed,), lower)[0]
+
+    def several_hashes(self, seeds: tuple[int, ...], lower: bool = False) -> list[np.ndarray]:
+        """Hashes by several seeds, which are independent of one another."""
         if not self.n:
-            return np.zeros(0, np.uint64)
+            return [np.zeros(0, np.uint64) for _ in seeds]
         lengths = self.ends - self.starts
         first = np.zeros(self.n, np.int64)
         np.cumsum(lengths[:-1], out=first[1:])
@@ -61,8 +65,9 @@ class Words:
         if lower:
             kept = _LOWER[kept]
         place = np.arange(len(kept)) - np.repeat(first, lengths)
-        out = np.add.reduceat(_coefficients(seed, int(lengths.max()))[place] * (kept.astype(np.uint64) + U64(1)), first)
-        return mix(out)
+        kept = kept.astype(np.uint64) + U64(1)
+        longest = int(lengths.max())
+        return [mix(np.add.reduceat(_coefficients(seed, longest)[place] * kept, first)) for seed in seeds]
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))

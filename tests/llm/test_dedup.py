@@ -9,7 +9,7 @@ import pytest
 from tests.llm.conftest import ODD, SF, words
 from lakemill.llm import minhash, substring_dedup
 from lakemill.llm.components import connected_components
-from lakemill.llm.words import plain, split, window_hashes
+from lakemill.llm.words import plain, split
 
 import pyarrow as pa
 
@@ -67,16 +67,34 @@ def test_cut_repeats_keeps_rows_and_columns(odd):
 
 def test_symbols_do_not_depend_on_what_stands_around():
     random = np.random.default_rng(3)
-    core = [f"c{x}" for x in random.integers(0, 40, 50)]
-    seen = set()
-    for k in range(40):
-        around = [[f"c{x}" for x in random.integers(0, 40, random.integers(0, 30))] for _ in range(2)]
-        w = split(plain(pa.array([" ".join([*around[0], *core, *around[1]])])))
-        h = w.hashes()
-        _, where = window_hashes(h, w.bounds, 50)
-        symbols = substring_dedup.window_symbols(h, w.bounds, where, 50, substring_dedup.ROUNDS)
-        seen.add(int(symbols[len(around[0])]))
-    assert len(seen) == 1 and 0 not in seen
+    for words in (40, 2):  # two words: long runs and pairs in many rounds
+        core = [f"c{x}" for x in random.integers(0, words, 50)]
+        seen = set()
+        for k in range(60):
+            around = [[f"c{x}" for x in random.integers(0, words, random.integers(0, 30))] for _ in range(2)]
+            w = split(plain(pa.array([" ".join([*around[0], *core, *around[1]])])))
+            where = substring_dedup._window_starts(w.bounds, 50)
+            levels = substring_dedup.parse(w.hashes(), w.bounds, substring_dedup.ROUNDS)
+            symbols = substring_dedup.window_symbols(levels, where, 50)
+            names = substring_dedup.window_names(levels, where, 50)
+            seen.add((int(symbols[len(around[0])]), int(names[len(around[0])])))
+        assert len(seen) == 1 and (words == 2 or 0 not in next(iter(seen)))
+
+
+@pytest.mark.parametrize("words, width", [(2, 9), (3, 20), (50, 50)])
+def test_names_tell_windows_apart(words, width):
+    """Windows have equal names if and only if their words are equal."""
+    random = np.random.default_rng(words)
+    texts = [" ".join(f"c{x}" for x in random.integers(0, words, random.integers(0, 200))) for _ in range(60)]
+    texts += [t + " c0 c0 c0 c0 " * 9 for t in texts[:20]]
+    w = split(plain(pa.array(texts)))
+    where = substring_dedup._window_starts(w.bounds, width)
+    names = substring_dedup.window_names(substring_dedup.parse(w.hashes(), w.bounds, substring_dedup.ROUNDS), where, width)
+    flat = [x for t in texts for x in t.split()]
+    by_words = {}
+    for i, name in zip(where.tolist(), names.tolist()):
+        by_words.setdefault(tuple(flat[i : i + width]), set()).add(name)
+    assert all(len(x) == 1 for x in by_words.values()) and len(set(names.tolist())) == len(by_words) < len(where)
 
 
 def shingles(text):

@@ -87,3 +87,31 @@ def test_very_long_texts(spark):
     df = spark.createDataFrame([(1, long), (2, long + " tail"), (3, "short text of some six words"), (3, "short text of some six words")], "doc_id bigint, text string")
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect())
     assert len(long) > 2 << 20 and got == [(1, 399_996, 1), (2, 399_997, 1), (3, 2, 3), (3, 2, 3)]
+
+
+def test_messages_over_hubs(spark, monkeypatch):
+    from lakemill.llm import substring_dedup
+    from tests.llm.test_dedup import cut, found
+
+    random = np.random.default_rng(5)
+    docs = [(int(i), " ".join(random.choice(["a", "b", "c"], random.integers(0, 150)))) for i in range(80)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(blocks, "BUCKET_BYTES", 700)
+    for most in (10**9, 1):
+        monkeypatch.setattr(blocks, "MOST_MESSAGES", most)
+        assert found(substring_dedup.substring_dedup(df, 7)) == cut(docs, 7)
+
+
+def test_the_shared_folder_is_demanded_on_a_cluster():
+    class Spark:
+        class sparkContext:
+            master = "spark://host:7077"
+
+        class conf:
+            get = staticmethod(lambda key, other=None: {"spark.sql.warehouse.dir": "/local/warehouse"}.get(key, other))
+
+    with pytest.raises(ValueError):
+        blocks.shared_folder(Spark)
+    Spark.conf.get = staticmethod(lambda key, other=None: {"spark.checkpoint.dir": "hdfs://x/y/"}.get(key, other))
+    assert blocks.shared_folder(Spark) == "hdfs://x/y"

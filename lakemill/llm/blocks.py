@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from lakemill.llm.words import SLICE_BYTES
 
@@ -233,8 +234,7 @@ class Post:
                     by_receiver.setdefault(row[0], []).append(row)
             return mail([(to, 0, _pack(rows)) for to, rows in by_receiver.items()])
 
-        # Spark tells groups from cogroups by the number of arguments
-        two = work.__code__.co_argcount == 2
+        two = isinstance(grouped, PandasCogroupedOps)
         sent = grouped.applyInArrow((lambda a, b: packed(work(a, b))) if two else (lambda a: packed(work(a))), MESSAGE)
         return sent.groupBy("to").applyInArrow(relay, MESSAGE)
 

@@ -1,20 +1,24 @@
-"""A Katz backoff bigram model of all training texts, and the log10 probability it gives every text.
+"""A Katz backoff model of n-grams of all training texts, and the log10 probability it gives every text.
 
-Tokens are words (A-Z lower-cased) and one end for each text; the first token's history is a begin mark. Counts up
-to ``TOP`` are discounted by Good-Turing; what that frees goes to unseen continuations in proportion to the unigram
-probabilities, where all unknown words share one event. P(. | history) sums to 1 over the known tokens and that event.
+Tokens are words (A-Z lower-cased) and one end for each text; before a text stand begin marks. Counts up to ``TOP``
+are discounted by Good-Turing, order by order; what that frees goes to unseen continuations in proportion to the next
+lower order, down to unigrams, where all unknown words share one event. P(. | history) sums to 1 over the known tokens
+and that event. With h a history, h' the same without its first token:
 
     P(w | h) = d(c) c(h, w) / c(h)      if c(h, w) > 0
-             = alpha(h) P(w)            else, alpha(h) = (1 - sum of seen P(w | h)) / (1 - sum of seen P(w))
-             = P(w)                     if h was never a history
+             = alpha(h) P(w | h')       else, alpha(h) = (1 - sum of seen P(w | h)) / (1 - sum of seen P(w | h'))
+             = P(w | h')                if h was never a history
 
 Where all continuations of a history have counts over ``TOP`` nothing would be free: c(h) + 1 divides instead.
 Where Good-Turing gives no discount between 0 and 1 (small or odd data), (r - 0.5) / r is taken for count r.
 
-The count tables are partitioned by key over buckets (see ``blocks``): a block of documents sends its distinct
-unigrams, then its distinct bigrams; buckets add up counts and answer. Bigrams of a history lie in one bucket, so its
-sums are complete there; a history with more than a bucket's share of all tokens is dealt over several, and its sums
-are added from theirs (such histories number at most the buckets). The driver gets only counts of counts and these.
+Counts and what backoff weights are made of are partitioned by history over buckets (see ``blocks``), and each
+order's are written as a table in the shared folder before the next order starts. A block of documents sends its
+distinct unigrams, then its distinct bigrams of known histories and words, then trigrams whose bigrams are known, and so
+on; buckets add up counts and answer. N-grams of a history lie in one bucket, so its sums are complete there; a history
+with more than a bucket's share of all tokens is dealt over several, and its sums are added from theirs (such histories
+number at most the buckets). The driver gets only counts of counts and these. A token's probability is then evaluated
+from the lowest order up, each order from the one before.
 
 Defined cases: a null or empty text is one end token; without training texts every token is the unknown event, of
 probability 1; rows that share a doc_id count each; a null doc_id counts as text '' for the split. Other columns
@@ -29,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakemill.llm import blocks as B
-from lakemill.llm.words import U64, first_of_runs, mix, split
+from lakemill.llm.words import U64, first_of_runs, mix, pair_name, split
 
-TOP = 5
+TOP, ORDER = 5, 3
 BEGIN, END = U64(0x6265_6769_6E00_0001), U64(0x656E_6400_0000_0001)
 
 
@@ -83,7 +87,7 @@ class Unigrams:
 
 
 class _Block:
-    """The tokens of a block: distinct keys, and for each token its number and its history's."""
+    """The tokens of a block: distinct keys, and for each token its number."""
 
     def __init__(self, table: pa.Table):
         held = table.column("held").to_numpy(zero_copy_only=False)
@@ -108,71 +112,81 @@ class _Block:
         order = np.argsort(tokens)
         heads = first_of_runs(tokens[order])
         self.keys = tokens[order][heads]
-        self.word = np.empty(len(tokens), np.int64)
+        self.word = np.empty(len(tokens), np.int32)
         self.word[order] = np.cumsum(heads) - 1
         self.counts = np.bincount(self.word[self.train], minlength=len(self.keys))
-        # histories are numbered as keys; the begin mark comes after all
-        self.history = np.empty(len(tokens), np.int64)
-        self.history[1:] = self.word[:-1]
-        self.history[self.bounds[:-1][self.bounds[:-1] < len(tokens)]] = len(self.keys)
+        self.heads = self.bounds[:-1][self.bounds[:-1] < len(tokens)]
 
 
-class _Pairs:
-    """A block's distinct bigrams of known histories and known words, dealt to buckets.
+class _Level:
+    """A block's distinct k-grams of known histories whose last k - 1 tokens are known, dealt to buckets.
 
-    Sorted by bucket, history key and word key. ``need`` marks histories that are followed by an unknown word.
+    ``gram`` is the number of the (k - 1)-gram that ends at each token, -1 if it was not looked up; ``names`` and
+    ``counts`` are those numbers' names and counts in training texts; ``divisors`` is what the (k - 1)-gram's count at
+    each token is divided by. Sorted by bucket, history and word. ``need`` marks histories that are followed by a
+    token whose (k - 1)-gram is not known.
     """
 
-    def __init__(self, block: _Block, counts: np.ndarray, ends: int, uni: Unigrams, buckets: int):
-        m = len(block.keys)
-        self.history_counts = np.append(counts, ends)
-        known = (self.history_counts[block.history] > 0) & (counts[block.word] > 0)
-        code = block.history[known] * m + block.word[known]
+    def __init__(self, block: _Block, k: int, gram, names, counts, ends: int, divisors, tokens: int, buckets: int):
+        m, begin = len(block.keys), len(names)
+        self.names = np.append(names, mix(np.array([BEGIN + U64(k)]))[0])
+        self.totals = np.append(counts, ends)
+        history = np.empty(len(gram), np.int64)
+        history[1:] = gram[:-1]
+        history[block.heads] = begin
+        lower = np.append(counts, 0)[gram]
+        self.lower, self.divisors, self.k, self.of_history = lower, divisors, k, history
+        self.followed = (history >= 0) & (self.totals[history] > 0)
+        known = np.flatnonzero(self.followed & (lower > 0))
+        code = history[known] * m + block.word[known]
         order = np.argsort(code)
         heads = first_of_runs(code[order])
-        group = np.empty(len(code), np.int64)
+        group = np.empty(len(code), np.int32)
         group[order] = np.cumsum(heads) - 1
+        lead = known[order[heads]]
         code = code[order][heads]
         history, word = np.divmod(code, max(m, 1))
         train = np.bincount(group[block.train[known]], minlength=len(code))
-        names = np.append(block.keys, BEGIN)
-        share = max(1, uni.tokens // buckets)
-        parts = 1 + self.history_counts // share  # buckets that a history is dealt over
-        name = names[history]
-        base = ((mix(name) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+        share = max(1, tokens // buckets)
+        parts = 1 + self.totals // share  # buckets that a history is dealt over
+        base = self._bucket(self.names[history], buckets)
         bucket = (base + (mix(block.keys[word]) >> U64(33)).astype(np.int64) % parts[history]) % buckets
         deal = np.argsort(bucket.astype(np.int32), kind="stable")
-        self.bucket, self.history, self.word, self.train = bucket[deal], history[deal], word[deal], train[deal]
-        at = np.empty(len(deal), np.int64)
+        self.bucket, self.history, self.word, self.train, self.lead = bucket[deal], history[deal], word[deal], train[deal], lead[deal]
+        at = np.empty(len(deal), np.int32)
         at[deal] = np.arange(len(deal))
-        self.of_token = np.full(len(block.word), -1)
-        self.of_token[known] = at[group]
-        self.names, self.hot = names, parts > 1
-        self.need = np.zeros(m + 1, bool)
-        self.need[block.history[counts[block.word] == 0]] = True
+        self.gram = np.full(len(gram), -1, np.int32)
+        self.gram[known] = at[group]
+        self.hot = parts > 1
+        self.need = np.zeros(begin + 1, bool)
+        self.need[self.of_history[self.followed & (lower == 0)]] = True
         self.cuts = np.searchsorted(self.bucket, np.arange(buckets + 1))
-        # histories that only unknown words follow here; their sums are asked for too
-        lonely = self.need & (self.history_counts > 0) & ~self.hot
+        # histories that only such tokens follow here; their sums are asked for too
+        lonely = self.need & ~self.hot
         lonely[self.history] = False
         lonely = np.flatnonzero(lonely)
-        base = ((mix(names[lonely]) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+        base = self._bucket(self.names[lonely], buckets)
         deal = np.argsort(base, kind="stable")
         self.lonely = lonely[deal]
         self.lonely_cuts = np.searchsorted(base[deal], np.arange(buckets + 1))
-        self.word_keys, self.counts = block.keys, counts
+        self.word_keys = block.keys
+
+    @staticmethod
+    def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
+        return ((mix(names) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
 
     def alone(self, b: int) -> np.ndarray:
         return self.lonely[self.lonely_cuts[b] : self.lonely_cuts[b + 1]]
 
     def part(self, b: int):
-        """Pairs of bucket b: their range, and where each history begins."""
+        """K-grams of bucket b: their range, and where each history begins."""
         lo, hi = int(self.cuts[b]), int(self.cuts[b + 1])
         heads = np.flatnonzero(first_of_runs(self.history[lo:hi]))
         return lo, hi, heads
 
     def message(self, b: int) -> bytes:
         lo, hi, heads = self.part(b)
-        own = self.history[lo:hi][heads]
+        own, lead = self.history[lo:hi][heads], self.lead[lo:hi]
         return b"".join(
             [
                 np.array([len(heads), hi - lo], np.int64).tobytes(),
@@ -182,11 +196,75 @@ class _Pairs:
                 _squeeze(np.packbits(self.need[own])),
                 _squeeze(np.packbits(self.hot[own])),
                 _squeeze(self.train[lo:hi].astype(np.uint32)),
-                _squeeze(self.counts[self.word[lo:hi]].astype(np.int64)),
+                _squeeze(self.lower[lead].astype(np.int64)),
+                _squeeze(self.divisors[lead].astype(np.int64) if self.k > 2 else np.zeros(0, np.int64)),
                 _squeeze(self.names[self.alone(b)]),
             ]
         )
 
+    def messages(self, number: int) -> pa.Table:
+        return B.mail([(int(b), number, self.message(int(b))) for b in np.flatnonzero(np.diff(self.cuts) + np.diff(self.lonely_cuts))])
+
+    def take(self, answers: pa.Table, found: _Found, least_left: float) -> None:
+        """Counts of the k-grams, and of histories the backoff weights."""
+        self.seen = np.zeros(len(self.word), np.int64)
+        self.saturated = np.zeros(len(self.names), bool)
+        self.alpha = np.ones(len(self.names))
+        d = self.d = found.d
+
+        def weigh(which: np.ndarray, sums: np.ndarray, mass: np.ndarray) -> None:
+            total = self.totals[which]
+            full = sums[:, :TOP].sum(axis=1) == 0
+            free = np.where(full, 1 / (total + 1), (sums * (1 - d[1:])).sum(axis=1) / np.maximum(total, 1))
+            self.alpha[which] = free / np.maximum(1 - mass, least_left)
+            self.saturated[which] = full
+
+        for sender, data in zip(answers.column("sender").to_pylist(), answers.column("data"), strict=True):
+            r = _Reader(data.as_buffer())
+            lo, hi, heads = self.part(sender)
+            c = r.squeezed(np.int64)
+            self.seen[lo:hi] = c
+            own = self.history[lo:hi][heads]
+            bits = np.unpackbits(r.squeezed(np.uint8), count=len(own)).view(bool)
+            cold = ~self.hot[own]
+            self.saturated[own[cold]] = bits[cold]
+            full = own[(self.need[own] | (np.add.reduceat(np.append(c == 0, False), heads) > 0)) & cold]
+            full = np.append(full, self.alone(sender))
+            sums = r.squeezed(np.int64).reshape(TOP + 1, -1).T
+            weigh(full, sums, r.raw(np.float64, len(full)))
+        spread = np.flatnonzero(self.hot)
+        spread = spread[[int(x) in found.hot for x in self.names[spread]]] if len(spread) else spread
+        if len(spread):
+            got = [found.hot[int(x)] for x in self.names[spread]]
+            weigh(spread, np.array([g[0] for g in got]), np.array([g[1] for g in got]))
+
+    def probability(self, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token by this order, from that by the order below; and what the k-gram's count is divided by."""
+        count = np.append(self.seen, 0)[self.gram]
+        divisors = np.maximum(self.totals[self.of_history] + self.saturated[self.of_history], 1)
+        direct = self.d[np.minimum(count, TOP + 1)] * count / divisors
+        p = np.where(count > 0, direct, np.where(self.followed, self.alpha[self.of_history] * lower, lower))
+        return p, divisors
+
+    def gram_names(self) -> np.ndarray:
+        return pair_name(self.names[self.history], self.word_keys[self.word], 910 + self.k)
+
+
+class _Found:
+    """What the driver knows of an order: discounts d(0) ... d(TOP), 1, and the sums of histories in several buckets."""
+
+    def __init__(self, reports: list[bytes]):
+        n, self.hot = np.zeros(TOP + 1, np.int64), {}
+        for data in reports:
+            r = _Reader(data)
+            n += r.raw(np.int64, TOP + 1)
+            k = (len(data) - r.at) // (8 * (TOP + 3))
+            for name, sums, mass in zip(r.raw(np.uint64, k), r.raw(np.int64, k * (TOP + 1)).reshape(k, TOP + 1), r.raw(np.float64, k), strict=True):
+                have = self.hot.setdefault(int(name), [np.zeros(TOP + 1, np.int64), 0.0])
+                have[0] += sums
+                have[1] += float(mass)
+        self.d = np.array([*discounts([0, *n.tolist()]), 1.0])
+
 
 def _answer_unigrams(table: pa.Table) -> pa.Table:
     to, keys, counts = B.one(table.column("to")), [], []
@@ -211,7 +289,9 @@ def _answer_unigrams(table: pa.Table) -> pa.Table:
     return B.mail([*out, (-1, to, stats.tobytes())])
 
 
-def _answer_bigrams(uni: Unigrams):
+def _answer_grams(k: int, uni: Unigrams, below: _Found | None):
+    """The work of a bucket for order k; ``below`` has the discounts of order k - 1 if that is not 1."""
+
     def work(table: pa.Table) -> pa.Table:
         to, parts = B.one(table.column("to")), []
         for data in table.column("data"):
@@ -220,7 +300,7 @@ def _answer_bigrams(uni: Unigrams):
             names, words = r.raw(np.uint64, n_h), r.raw(np.uint64, n)
             sizes = r.squeezed(np.uint32).astype(np.int64)
             need, hot = (np.unpackbits(r.squeezed(np.uint8), count=n_h).view(bool) for _ in range(2))
-            parts.append((names, sizes, need, hot, words, r.squeezed(np.uint32), r.squeezed(np.int64), r.squeezed(np.uint64)))
+            parts.append((names, sizes, need, hot, words, r.squeezed(np.uint32), r.squeezed(np.int64), r.squeezed(np.int64), r.squeezed(np.uint64)))
         names = np.concatenate([p[0] for p in parts])
         by = np.argsort(names)
         heads = first_of_runs(names[by])
@@ -239,15 +319,20 @@ def _answer_bigrams(uni: Unigrams):
         seen = np.bincount(group, weights=np.concatenate([p[5] for p in parts]), minlength=int(new.sum())).astype(np.int64)
         lead = order[new]
         del order, words
-        pair_history, word_count = history[lead], np.concatenate([p[6] for p in parts])[lead]
+        gram_history, lower = history[lead], np.concatenate([p[6] for p in parts])[lead]
         m = len(distinct)
-        # per history: tokens in continuations seen 1 ... TOP times and oftener, and their unigram probability
+        # per history: tokens in continuations seen 1 ... TOP times and oftener, and their probability by the order below
         sums = np.zeros((m, TOP + 1), np.int64)
         some = seen > 0
-        np.add.at(sums, (pair_history[some], np.minimum(seen[some], TOP + 1) - 1), seen[some])
-        mass = np.bincount(pair_history[some], weights=uni.probability(word_count[some]), minlength=m)
+        np.add.at(sums, (gram_history[some], np.minimum(seen[some], TOP + 1) - 1), seen[some])
+        if below is None:
+            p = uni.probability(lower[some])
+        else:
+            c = lower[some]
+            p = below.d[np.minimum(c, TOP + 1)] * c / np.concatenate([p[7] for p in parts])[lead][some]
+        mass = np.bincount(gram_history[some], weights=p, minlength=m)
         out, at, h_at = [], 0, 0
-        for sender, (own, size, need, _, w, _, _, alone) in zip(table.column("sender").to_pylist(), parts, strict=True):
+        for sender, (own, size, need, _, w, _, _, _, alone) in zip(table.column("sender").to_pylist(), parts, strict=True):
             c = seen[group[at : at + len(w)]]
             h = number[h_at : h_at + len(own)]
             unseen = np.add.reduceat(np.append(c == 0, False), np.cumsum(size) - size) > 0 if len(own) else np.zeros(0, bool)
@@ -271,87 +356,60 @@ def _unigram_counts(block: _Block, answers: pa.Table, buckets: int) -> np.ndarra
     return out
 
 
-def score(docs: DataFrame, held: str) -> DataFrame:
+def score(docs: DataFrame, held: str, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``.
 
-    ``docs`` has doc_id, text and a boolean column ``held`` of rows that the model must not learn from.
+    ``docs`` has doc_id, text and a boolean column ``held`` of rows that the model must not learn from; n-grams have
+    up to ``order`` tokens.
     """
-    spark = docs.sparkSession
-    buckets = B.bucket_count(spark)
-    texts = B.to_blocks(docs, [F.coalesce(F.col(held), F.lit(False)).alias("held")])
+    post = B.Post(B.text_bytes(docs))
+    buckets = post.buckets
+    texts = B.to_blocks(docs, post.blocks, [F.coalesce(F.col(held), F.lit(False)).alias("held")])
 
     def unigrams(table: pa.Table) -> pa.Table:
         block = _Block(table)
         pack = lambda a, b: np.int64(b - a).tobytes() + block.keys[a:b].tobytes() + _squeeze(block.counts[a:b].astype(np.uint32))
         return B.Outbox(block.keys, buckets).messages(B.one(table.column("block")), pack)
 
-    first = B.checkpointed(B.answer(B.ask(texts, unigrams), _answer_unigrams))
-    stats = [np.frombuffer(r.data, np.int64) for r in first.where("to < 0").select("data").collect()]
+    first = B.checkpointed(post.answer(post.ask(texts, unigrams), _answer_unigrams))
+    stats = [np.frombuffer(r, np.int64) for r in post.reports(first)]
     stats = np.sum(stats, axis=0) if stats else np.zeros(TOP + 5, np.int64)
     uni, ends = Unigrams(stats[:-1]), int(stats[-1])
-    first = first.where("to >= 0")
+    found: list[_Found] = []
+    answers = first.where("to >= 0").withColumn("round", F.lit(1))
 
-    def bigrams(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return B.mail([])
-        block = _Block(table)
-        pairs = _Pairs(block, _unigram_counts(block, answers, buckets), ends, uni, buckets)
-        number = B.one(table.column("block"))
-        return B.mail([(int(b), number, pairs.message(int(b))) for b in np.flatnonzero(np.diff(pairs.cuts) + np.diff(pairs.lonely_cuts))])
-
-    second = B.checkpointed(B.answer(B.follow(texts, first, bigrams, B.MESSAGE), _answer_bigrams(uni)))
-    n, hot = np.zeros(TOP + 1, np.int64), {}
-    for row in second.where("to < 0").select("data").collect():  # a row for each bucket
-        r = _Reader(row.data)
-        n += r.raw(np.int64, TOP + 1)
-        k = (len(row.data) - r.at) // (8 * (TOP + 3))
-        for name, sums, mass in zip(r.raw(np.uint64, k), r.raw(np.int64, k * (TOP + 1)).reshape(k, TOP + 1), r.raw(np.float64, k), strict=True):
-            have = hot.setdefault(int(name), [np.zeros(TOP + 1, np.int64), 0.0])
-            have[0] += sums
-            have[1] += float(mass)
-    d = np.array([*discounts([0, *n.tolist()]), 1.0])
-    second = second.where("to >= 0")
-
-    def work(table: pa.Table, answers: pa.Table) -> pa.Table:
+    def evaluate(table: pa.Table, got: pa.Table, known: list[_Found]) -> tuple:
+        """The block, unigram counts of its tokens, their probability by the orders known, and the next order's k-grams."""
+        of = lambda k: got.filter(pa.compute.equal(got.column("round"), k))
         block = _Block(table)
-        one = pa.compute.equal(answers.column("round"), 1)
-        counts = _unigram_counts(block, answers.filter(one), buckets)
-        pairs = _Pairs(block, counts, ends, uni, buckets)
-        seen = np.zeros(len(pairs.word), np.int64)
-        saturated = np.zeros(len(pairs.names), bool)
-        alpha = np.ones(len(pairs.names))
-
-        def weigh(which: np.ndarray, sums: np.ndarray, mass: np.ndarray) -> None:
-            total = pairs.history_counts[which]
-            full = sums[:, :TOP].sum(axis=1) == 0
-            free = np.where(full, 1 / (total + 1), (sums * (1 - d[1:])).sum(axis=1) / np.maximum(total, 1))
-            alpha[which] = free / np.maximum(1 - mass, uni.unknown)
-            saturated[which] = full
-
-        rest = answers.filter(pa.compute.invert(one))
-        for sender, data in zip(rest.column("sender").to_pylist(), rest.column("data"), strict=True):
-            r = _Reader(data.as_buffer())
-            lo, hi, heads = pairs.part(sender)
-            c = r.squeezed(np.int64)
-            seen[lo:hi] = c
-            own = pairs.history[lo:hi][heads]
-            bits = np.unpackbits(r.squeezed(np.uint8), count=len(own)).view(bool)
-            cold = ~pairs.hot[own]
-            saturated[own[cold]] = bits[cold]
-            full = own[(pairs.need[own] | (np.add.reduceat(np.append(c == 0, False), heads) > 0)) & cold]
-            full = np.append(full, pairs.alone(sender))
-            sums = r.squeezed(np.int64).reshape(TOP + 1, -1).T
-            weigh(full, sums, r.raw(np.float64, len(full)))
-        spread = np.flatnonzero(pairs.hot)
-        spread = spread[[int(x) in hot for x in pairs.names[spread]]] if len(spread) else spread
-        if len(spread):
-            got = [hot[int(x)] for x in pairs.names[spread]]
-            weigh(spread, np.array([g[0] for g in got]), np.array([g[1] for g in got]))
-        c_word, c_history = counts[block.word], pairs.history_counts[block.history]
-        p = uni.probability(c_word)
-        c_pair = np.where(pairs.of_token >= 0, seen[pairs.of_token] if len(seen) else 0, 0)
-        direct = d[np.minimum(c_pair, TOP + 1)] * c_pair / np.maximum(c_history + saturated[block.history], 1)
-        p = np.where(c_pair > 0, direct, np.where(c_history > 0, alpha[block.history] * p, p))
+        counts = _unigram_counts(block, of(1), buckets)
+        gram, names, own, divisors = block.word, block.keys, counts, np.zeros(len(block.word), np.int64)
+        p = uni.probability(counts[block.word])
+        for k in range(2, len(known) + 3):
+            if k > order:
+                return block, counts, p, None
+            level = _Level(block, k, gram, names, own, ends, divisors, uni.tokens, buckets)
+            if k > len(known) + 1:
+                return block, counts, p, level
+            # by the order below at least the unknown event is left over; higher up only rounding could take it all
+            level.take(of(k), known[k - 2], uni.unknown if k == 2 else 1e-15)
+            p, divisors = level.probability(p)
+            gram, names, own = level.gram, level.gram_names(), level.seen
+        return block, counts, p, None
+
+    for k in range(2, order + 1):
+
+        def grams(table: pa.Table, got: pa.Table, known: list[_Found] = [*found]) -> pa.Table:  # noqa: B006
+            return evaluate(table, got, known)[3].messages(B.one(table.column("block"))) if table.num_rows else B.mail([])
+
+        ask = lambda table, got, grams=grams: grams(table, got)
+        table = B.checkpointed(post.answer(post.ask_again(texts, answers, ask), _answer_grams(k, uni, found[-1] if found else None)))
+        found.append(_Found(post.reports(table)))
+        answers = answers.unionAll(table.where("to >= 0").withColumn("round", F.lit(k)))
+
+    def work(table: pa.Table, got: pa.Table) -> pa.Table:
+        block, counts, p, _ = evaluate(table, got, found)
+        c_word = counts[block.word]
         base = np.log10((c_word + 1) / (uni.tokens + uni.types + 1))
         heads = block.bounds[:-1]
         return pa.table(
@@ -366,9 +424,8 @@ def score(docs: DataFrame, held: str) -> DataFrame:
             }
         )
 
-    answers = first.withColumn("round", F.lit(1)).unionAll(second.withColumn("round", F.lit(2)))
     kind = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return B.follow(texts, answers, work, kind)
+    return post.follow(texts, answers, work, kind)
 
 
 def op4_katz(spark, sf_dir: str) -> DataFrame:

@@ -163,58 +163,72 @@ def test_nbsvm_query(spark, odd):
     assert {r.score for r in nbsvm.score(odd, none).collect()} == {0.5}
 
 
-def model(train):
-    """Katz by dictionaries: a function from history and word to probability."""
-    c, b = Counter(), {}
+def model(train, order):
+    """Katz by dictionaries: counts of words, and a function from history (a tuple, begin marks 0) and word to probability."""
+    c, grams = Counter(), {}
     for t in train:
         c.update(t)
-        for h, w in zip([0, *t], t):
-            b.setdefault(h, Counter())[w] += 1
+        for k in range(2, order + 1):
+            padded = [0] * (k - 1) + t
+            for i, w in enumerate(t):
+                grams.setdefault(tuple(padded[i : i + k - 1]), Counter())[w] += 1
 
     def discounts(values):
         n = Counter(values)
         return katz.discounts([0] + [n[r] for r in range(1, katz.TOP + 2)])
 
-    du, db = discounts(c.values()), discounts(x for h in b.values() for x in h.values())
-    low = lambda d, x: (d[x] if x <= katz.TOP else 1) * x
+    d = {1: discounts(c.values())} | {k: discounts(x for h, v in grams.items() if len(h) == k - 1 for x in v.values()) for k in range(2, order + 1)}
+    low = lambda k, x: (d[k][x] if x <= katz.TOP else 1) * x
     n = sum(c.values())
     total = n if any(x <= katz.TOP for x in c.values()) else n + 1
-    unknown = 1 - sum(low(du, x) for x in c.values()) / total if n else 1.0
-    p = lambda w: low(du, c[w]) / total if w in c else unknown
+    unknown = 1 - sum(low(1, x) for x in c.values()) / total if n else 1.0
 
     def q(h, w):
-        if h not in b:
-            return p(w)
-        t = sum(b[h].values())
-        t = t + 1 if all(x > katz.TOP for x in b[h].values()) else t
-        if w in b[h]:
-            return low(db, b[h][w]) / t
-        return (1 - sum(low(db, x) for x in b[h].values()) / t) / (1 - sum(map(p, b[h]))) * p(w)
+        if not h:
+            return low(1, c[w]) / total if w in c else unknown
+        if h not in grams:
+            return q(h[1:], w)
+        seen, k = grams[h], len(h) + 1
+        t = sum(seen.values())
+        t = t + 1 if all(x > katz.TOP for x in seen.values()) else t
+        if w in seen:
+            return low(k, seen[w]) / t
+        return (1 - sum(low(k, x) for x in seen.values()) / t) / (1 - sum(q(h[1:], v) for v in seen)) * q(h[1:], w)
 
     return c, q
 
 
-@pytest.mark.parametrize("where", ["documents", "odd", "hot"])
-def test_katz(spark, odd, where):
+@pytest.mark.parametrize("where, order", [("documents", 3), ("odd", 3), ("odd", 2), ("odd", 1), ("hot", 3), ("hot", 4), ("hubs", 3)])
+def test_katz(spark, odd, monkeypatch, where, order):
+    from pyspark.sql import functions as F
+
     if where == "documents":
         df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    elif where == "odd":
+    elif where == "odd":  # rows that share an id, and one without, too
         df = odd.select("doc_id", "text")
+        df = df.unionAll(df.where("doc_id in (7, 13)")).unionAll(spark.createDataFrame([(None, "w1 w2 w3 no id")], "doc_id bigint, text string"))
     else:  # one history holds half of all tokens, and goes to several buckets
         df = spark.createDataFrame([(i, " ".join(f"the w{(i * k) % 97}" for k in range(40))) for i in range(60)], "doc_id bigint, text string")
-    from pyspark.sql import functions as F
-
-    rows = {r.doc_id: r for r in katz.score(df.withColumn("held", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2), "held").collect()}
-    docs = {r.doc_id: [*words(r.text, lower=True), 1] for r in df.collect()}
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in docs}
-    c, q = model([t for i, t in docs.items() if not held[i]])
+    if where == "hubs":
+        monkeypatch.setattr(katz.B, "BLOCK_BYTES", 900)
+        monkeypatch.setattr(katz.B, "BUCKET_BYTES", 1200)
+        monkeypatch.setattr(katz.B, "MOST_MESSAGES", 1)
+    split_of = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    rows = katz.score(df.withColumn("held", held), "held", order).collect()
+    docs = [(r.doc_id, [*words(r.text, lower=True), 1]) for r in df.collect()]
+    c, q = model([t for i, t in docs if not split_of(i)], order)
     n, v = sum(c.values()), len(c)
-    for i, t in docs.items():
-        r = rows[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(w in c for w in t), n)
-        assert r.base_score == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in t))
-        assert r.score == pytest.approx(sum(np.log10(q(h, w)) for h, w in zip([0, *t], t)), rel=1e-9)
-    h = next(iter(c))
+    want = []
+    for i, t in docs:
+        padded = [0] * (order - 1) + t
+        base = sum(np.log10((c[w] + 1) / (n + v + 1)) for w in t)
+        want.append((-1 if i is None else i, split_of(i), len(t), sum(w in c for w in t), n, base, sum(np.log10(q(tuple(padded[k : k + order - 1]), w)) for k, w in enumerate(t))))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, *list(r)[1:]) for r in rows)
+    assert [r[:5] for r in got] == [r[:5] for r in sorted(want)]
+    for a, b in zip(got, sorted(want)):
+        assert a[5:] == (pytest.approx(b[5]), pytest.approx(b[6], rel=1e-9))
+    h = tuple([*docs[8][1], *[0] * order][: order - 1])
     assert sum(q(h, w) for w in c) + q(h, object()) == pytest.approx(1)
 
 

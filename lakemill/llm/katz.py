@@ -15,7 +15,8 @@ Where Good-Turing gives no discount between 0 and 1 (small or odd data), (r - 0.
 Counts and what backoff weights are made of are partitioned by history over buckets (see ``blocks``), and each
 order's are written as a table in the shared folder before the next order starts. A block of documents sends its
 distinct unigrams, then its distinct bigrams of known histories and words, then trigrams whose bigrams are known, and so
-on; buckets add up counts and answer. N-grams of a history lie in one bucket, so its sums are complete there; a history
+on; buckets add up counts and answer, and say which n-grams only one block has. What follows such a history is all
+in that block, which counts it by itself: at higher orders most histories need no message. N-grams of a history lie in one bucket, so its sums are complete there; a history
 with more than a bucket's share of all tokens is dealt over several, and its sums are added from theirs (such histories
 number at most the buckets). The driver gets only counts of counts and these. A token's probability is then evaluated
 from the lowest order up, each order from the one before.
@@ -27,6 +28,8 @@ are left out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -118,17 +121,37 @@ class _Block:
         self.heads = self.bounds[:-1][self.bounds[:-1] < len(tokens)]
 
 
+def _sums(history: np.ndarray, seen: np.ndarray, m: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of m histories: tokens in continuations seen 1 ... TOP times and oftener, and the p of those seen."""
+    sums, some = np.zeros(m * (TOP + 1), np.int64), seen > 0
+    h, c = history[some].astype(np.int64), seen[some]
+    cell = h * (TOP + 1) + np.minimum(c, TOP + 1) - 1
+    low = c <= TOP
+    sums += np.bincount(cell[low], minlength=len(sums)) * np.tile(np.append(np.arange(1, TOP + 1), 0), m)
+    np.add.at(sums, cell[~low], c[~low])
+    return sums.reshape(m, TOP + 1), np.bincount(h, weights=p[some], minlength=m)
+
+
+def _p_below(k: int, uni: Unigrams, below: _Found | None) -> Callable:
+    """The probability by order k - 1 of seen (k - 1)-grams, from their counts and what these are divided by."""
+    if k == 2:
+        return lambda c, divisor: uni.probability(c)
+    return lambda c, divisor: below.d[np.minimum(c, TOP + 1)] * c / np.maximum(divisor, 1)
+
+
 class _Level:
     """A block's distinct k-grams of known histories whose last k - 1 tokens are known, dealt to buckets.
 
-    ``gram`` is the number of the (k - 1)-gram that ends at each token, -1 if it was not looked up; ``names`` and
-    ``counts`` are those numbers' names and counts in training texts; ``divisors`` is what the (k - 1)-gram's count at
-    each token is divided by. Sorted by bucket, history and word. ``need`` marks histories that are followed by a
+    ``gram`` is the number of the (k - 1)-gram that ends at each token, -1 if it was not looked up; ``names``,
+    ``counts`` and ``only`` are those numbers' names, counts in training texts and whether no other block has them;
+    ``divisors`` is what the (k - 1)-gram's count at each token is divided by. Sorted by bucket, history and word; k-grams
+    of histories that only this block has come last and are not sent. ``need`` marks histories that are followed by a
     token whose (k - 1)-gram is not known.
     """
 
-    def __init__(self, block: _Block, k: int, gram, names, counts, ends: int, divisors, tokens: int, buckets: int):
+    def __init__(self, block: _Block, k: int, gram, names, counts, only, ends: int, divisors, tokens: int, buckets: int):
         m, begin = len(block.keys), len(names)
+        self.mine, self.buckets = np.append(only, False), buckets
         self.names = np.append(names, mix(np.array([BEGIN + U64(k)]))[0])
         self.totals = np.append(counts, ends)
         history = np.empty(len(gram), np.int64)
@@ -151,18 +174,19 @@ class _Level:
         parts = 1 + self.totals // share  # buckets that a history is dealt over
         base = self._bucket(self.names[history], buckets)
         bucket = (base + (mix(block.keys[word]) >> U64(33)).astype(np.int64) % parts[history]) % buckets
+        bucket[self.mine[history]] = buckets
         deal = np.argsort(bucket.astype(np.int32), kind="stable")
         self.bucket, self.history, self.word, self.train, self.lead = bucket[deal], history[deal], word[deal], train[deal], lead[deal]
         at = np.empty(len(deal), np.int32)
         at[deal] = np.arange(len(deal))
         self.gram = np.full(len(gram), -1, np.int32)
         self.gram[known] = at[group]
-        self.hot = parts > 1
+        self.hot = (parts > 1) & ~self.mine
         self.need = np.zeros(begin + 1, bool)
         self.need[self.of_history[self.followed & (lower == 0)]] = True
         self.cuts = np.searchsorted(self.bucket, np.arange(buckets + 1))
         # histories that only such tokens follow here; their sums are asked for too
-        lonely = self.need & ~self.hot
+        lonely = self.need & ~self.hot & ~self.mine
         lonely[self.history] = False
         lonely = np.flatnonzero(lonely)
         base = self._bucket(self.names[lonely], buckets)
@@ -184,11 +208,12 @@ class _Level:
         heads = np.flatnonzero(first_of_runs(self.history[lo:hi]))
         return lo, hi, heads
 
-    def message(self, b: int) -> bytes:
+    def message(self, b: int, counts: np.ndarray) -> bytes:
         lo, hi, heads = self.part(b)
         own, lead = self.history[lo:hi][heads], self.lead[lo:hi]
         return b"".join(
             [
+                counts.tobytes(),
                 np.array([len(heads), hi - lo], np.int64).tobytes(),
                 self.names[own].tobytes(),
                 self.word_keys[self.word[lo:hi]].tobytes(),
@@ -203,11 +228,17 @@ class _Level:
         )
 
     def messages(self, number: int) -> pa.Table:
-        return B.mail([(int(b), number, self.message(int(b))) for b in np.flatnonzero(np.diff(self.cuts) + np.diff(self.lonely_cuts))])
+        """What goes to buckets; one of them also gets the counts of counts of what is counted here."""
+        held = np.bincount(np.minimum(self.train[self.cuts[-1] :], TOP + 2), minlength=TOP + 3)[1 : TOP + 2].astype(np.int64)
+        some = np.diff(self.cuts) + np.diff(self.lonely_cuts) > 0
+        some[number % self.buckets] |= held.any()
+        return B.mail([(int(b), number, self.message(int(b), held if b == number % self.buckets else held * 0)) for b in np.flatnonzero(some)])
 
-    def take(self, answers: pa.Table, found: _Found, least_left: float) -> None:
+    def take(self, answers: pa.Table, found: _Found, least_left: float, p_below: Callable) -> None:
         """Counts of the k-grams, and of histories the backoff weights."""
-        self.seen = np.zeros(len(self.word), np.int64)
+        own_from = int(self.cuts[-1])
+        self.seen, self.only = np.zeros(len(self.word), np.int64), np.zeros(len(self.word), bool)
+        self.seen[own_from:], self.only[own_from:] = self.train[own_from:], True
         self.saturated = np.zeros(len(self.names), bool)
         self.alpha = np.ones(len(self.names))
         d = self.d = found.d
@@ -224,6 +255,7 @@ class _Level:
             lo, hi, heads = self.part(sender)
             c = r.squeezed(np.int64)
             self.seen[lo:hi] = c
+            self.only[lo:hi] = np.unpackbits(r.squeezed(np.uint8), count=hi - lo).view(bool)
             own = self.history[lo:hi][heads]
             bits = np.unpackbits(r.squeezed(np.uint8), count=len(own)).view(bool)
             cold = ~self.hot[own]
@@ -232,6 +264,11 @@ class _Level:
             full = np.append(full, self.alone(sender))
             sums = r.squeezed(np.int64).reshape(TOP + 1, -1).T
             weigh(full, sums, r.raw(np.float64, len(full)))
+        if own_from < len(self.word):
+            heads = own_from + np.flatnonzero(first_of_runs(self.history[own_from:]))
+            number = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(self.word))))
+            sums, mass = _sums(number, self.seen[own_from:], len(heads), p_below(self.lower[self.lead[own_from:]], self.divisors[self.lead[own_from:]]))
+            weigh(self.history[heads], sums, mass)
         spread = np.flatnonzero(self.hot)
         spread = spread[[int(x) in found.hot for x in self.names[spread]]] if len(spread) else spread
         if len(spread):
@@ -279,9 +316,11 @@ def _answer_unigrams(table: pa.Table) -> pa.Table:
     group[order] = np.cumsum(heads) - 1
     total = np.zeros(int(heads.sum()), np.int64)
     np.add.at(total, group, np.concatenate(counts).astype(np.int64))
+    only = np.bincount(group) == 1
     out, at = [], 0
     for sender, k in zip(table.column("sender").to_pylist(), keys, strict=True):
-        out.append((sender, to, _squeeze(total[group[at : at + len(k)]])))
+        own = group[at : at + len(k)]
+        out.append((sender, to, _squeeze(total[own]) + _squeeze(np.packbits(only[own]))))
         at += len(k)
     n = np.bincount(np.minimum(total, TOP + 2), minlength=TOP + 3)
     ends = total[np.searchsorted(all_keys[order][heads], END)] if (all_keys == END).any() else 0
@@ -289,13 +328,14 @@ def _answer_unigrams(table: pa.Table) -> pa.Table:
     return B.mail([*out, (-1, to, stats.tobytes())])
 
 
-def _answer_grams(k: int, uni: Unigrams, below: _Found | None):
-    """The work of a bucket for order k; ``below`` has the discounts of order k - 1 if that is not 1."""
+def _answer_grams(p_below: Callable):
+    """The work of a bucket for one order."""
 
     def work(table: pa.Table) -> pa.Table:
-        to, parts = B.one(table.column("to")), []
+        to, parts, held = B.one(table.column("to")), [], np.zeros(TOP + 1, np.int64)
         for data in table.column("data"):
             r = _Reader(data.as_buffer())
+            held += r.raw(np.int64, TOP + 1)
             n_h, n = (int(x) for x in r.raw(np.int64, 2))
             names, words = r.raw(np.uint64, n_h), r.raw(np.uint64, n)
             sizes = r.squeezed(np.uint32).astype(np.int64)
@@ -311,26 +351,18 @@ def _answer_grams(k: int, uni: Unigrams, below: _Found | None):
         hot[number] = np.concatenate([p[3] for p in parts])
         sizes = np.concatenate([p[1] for p in parts])
         history = np.repeat(number, sizes)
-        words = np.concatenate([p[4] for p in parts])
-        order = np.lexsort((words, history))
-        new = first_of_runs(history[order]) | first_of_runs(words[order])
-        group = np.empty(len(words), np.int32)
+        grams = pair_name(distinct[history], np.concatenate([p[4] for p in parts]), 909)
+        order = np.argsort(grams)
+        new = first_of_runs(grams[order])
+        group = np.empty(len(grams), np.int32)
         group[order] = np.cumsum(new) - 1
-        seen = np.bincount(group, weights=np.concatenate([p[5] for p in parts]), minlength=int(new.sum())).astype(np.int64)
         lead = order[new]
-        del order, words
-        gram_history, lower = history[lead], np.concatenate([p[6] for p in parts])[lead]
-        m = len(distinct)
-        # per history: tokens in continuations seen 1 ... TOP times and oftener, and their probability by the order below
-        sums = np.zeros((m, TOP + 1), np.int64)
-        some = seen > 0
-        np.add.at(sums, (gram_history[some], np.minimum(seen[some], TOP + 1) - 1), seen[some])
-        if below is None:
-            p = uni.probability(lower[some])
-        else:
-            c = lower[some]
-            p = below.d[np.minimum(c, TOP + 1)] * c / np.concatenate([p[7] for p in parts])[lead][some]
-        mass = np.bincount(gram_history[some], weights=p, minlength=m)
+        del order, grams
+        seen = np.bincount(group, weights=np.concatenate([p[5] for p in parts]), minlength=len(lead)).astype(np.int64)
+        only = np.bincount(group, minlength=len(lead)) == 1
+        m, lower = len(distinct), np.concatenate([p[6] for p in parts])[lead]
+        divisors = np.concatenate([p[7] for p in parts])
+        sums, mass = _sums(history[lead], seen, m, p_below(lower, divisors[lead] if len(divisors) else lower))
         out, at, h_at = [], 0, 0
         for sender, (own, size, need, _, w, _, _, _, alone) in zip(table.column("sender").to_pylist(), parts, strict=True):
             c = seen[group[at : at + len(w)]]
@@ -339,21 +371,25 @@ def _answer_grams(k: int, uni: Unigrams, below: _Found | None):
             full = (need | unseen) & ~hot[h]
             saturated = sums[h, :TOP].sum(axis=1) == 0
             asked = np.append(h[full], np.searchsorted(distinct, alone))
-            out.append((sender, to, _squeeze(c) + _squeeze(np.packbits(saturated)) + _squeeze(sums[asked].T.copy()) + mass[asked].tobytes()))
+            bits = _squeeze(np.packbits(only[group[at : at + len(w)]]))
+            out.append((sender, to, _squeeze(c) + bits + _squeeze(np.packbits(saturated)) + _squeeze(sums[asked].T.copy()) + mass[asked].tobytes()))
             at, h_at = at + len(w), h_at + len(own)
-        n = np.bincount(np.minimum(seen, TOP + 2), minlength=TOP + 3)[1 : TOP + 2]
+        n = held + np.bincount(np.minimum(seen, TOP + 2), minlength=TOP + 3)[1 : TOP + 2]
         stats = n.astype(np.int64).tobytes() + distinct[hot].tobytes() + sums[hot].tobytes() + mass[hot].tobytes()
         return B.mail([*out, (-1, to, stats)])
 
     return work
 
 
-def _unigram_counts(block: _Block, answers: pa.Table, buckets: int) -> np.ndarray:
+def _unigram_counts(block: _Block, answers: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the block's keys in training texts, and whether only this block has them."""
     box = B.Outbox(block.keys, buckets)
-    out = np.zeros(len(block.keys), np.int64)
+    out, only = np.zeros(len(block.keys), np.int64), np.zeros(len(block.keys), bool)
     for sender, data in zip(answers.column("sender").to_pylist(), answers.column("data"), strict=True):
-        out[box.cuts[sender] : box.cuts[sender + 1]] = _Reader(data.as_buffer()).squeezed(np.int64)
-    return out
+        r, lo, hi = _Reader(data.as_buffer()), int(box.cuts[sender]), int(box.cuts[sender + 1])
+        out[lo:hi] = r.squeezed(np.int64)
+        only[lo:hi] = np.unpackbits(r.squeezed(np.uint8), count=hi - lo).view(bool)
+    return out, only
 
 
 def score(docs: DataFrame, held: str, order: int = ORDER) -> DataFrame:
@@ -382,19 +418,19 @@ def score(docs: DataFrame, held: str, order: int = ORDER) -> DataFrame:
         """The block, unigram counts of its tokens, their probability by the orders known, and the next order's k-grams."""
         of = lambda k: got.filter(pa.compute.equal(got.column("round"), k))
         block = _Block(table)
-        counts = _unigram_counts(block, of(1), buckets)
+        counts, only = _unigram_counts(block, of(1), buckets)
         gram, names, own, divisors = block.word, block.keys, counts, np.zeros(len(block.word), np.int64)
         p = uni.probability(counts[block.word])
         for k in range(2, len(known) + 3):
             if k > order:
                 return block, counts, p, None
-            level = _Level(block, k, gram, names, own, ends, divisors, uni.tokens, buckets)
+            level = _Level(block, k, gram, names, own, only, ends, divisors, uni.tokens, buckets)
             if k > len(known) + 1:
                 return block, counts, p, level
             # by the order below at least the unknown event is left over; higher up only rounding could take it all
-            level.take(of(k), known[k - 2], uni.unknown if k == 2 else 1e-15)
+            level.take(of(k), known[k - 2], uni.unknown if k == 2 else 1e-15, _p_below(k, uni, known[k - 3] if k > 2 else None))
             p, divisors = level.probability(p)
-            gram, names, own = level.gram, level.gram_names(), level.seen
+            gram, names, own, only = level.gram, level.gram_names(), level.seen, level.only
         return block, counts, p, None
 
     for k in range(2, order + 1):
@@ -403,7 +439,7 @@ def score(docs: DataFrame, held: str, order: int = ORDER) -> DataFrame:
             return evaluate(table, got, known)[3].messages(B.one(table.column("block"))) if table.num_rows else B.mail([])
 
         ask = lambda table, got, grams=grams: grams(table, got)
-        table = B.checkpointed(post.answer(post.ask_again(texts, answers, ask), _answer_grams(k, uni, found[-1] if found else None)))
+        table = B.checkpointed(post.answer(post.ask_again(texts, answers, ask), _answer_grams(_p_below(k, uni, found[-1] if found else None))))
         found.append(_Found(post.reports(table)))
         answers = answers.unionAll(table.where("to >= 0").withColumn("round", F.lit(k)))
 

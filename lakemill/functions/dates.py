@@ -12,6 +12,10 @@ SPECIFIERS = {
 }
 
 
+#: Specifiers (week numbers, day of the week as a number, ordinals) that no Java pattern has.
+WITHOUT_PATTERN = set("DUuVvwXx")
+
+
 def java_pattern(mysql: str) -> str:
     """The Java pattern for a MySQL format; letters that are no specifier are quoted."""
     out, quoted, i = "", "", 0
@@ -25,6 +29,8 @@ def java_pattern(mysql: str) -> str:
             i += 2
             if name in SPECIFIERS:
                 out, quoted = out + flush() + SPECIFIERS[name], ""
+            elif name in WITHOUT_PATTERN:
+                raise ValueError(f"%{name} is not supported in date formats")
             else:
                 quoted += name
         else:

@@ -23,8 +23,9 @@ def modulo(a: Column, b: Column) -> Column:
 
 def truncate(x: Column, digits: int) -> Column:
     """Cuts towards zero at so many decimal digits."""
-    scale = F.lit(10.0**digits)
-    return F.when(x < 0, F.ceil(x * scale)).otherwise(F.floor(x * scale)) / scale
+    shown = x.cast("decimal(38,18)")  # the digits as they are shown, not the binary number
+    cut = F.when(x < 0, F.ceil(shown, F.lit(digits)).cast("double")).otherwise(F.floor(shown, F.lit(digits)).cast("double"))
+    return F.when(F.abs(x) >= 1e19, x.cast("double")).otherwise(cut)
 
 
 def xor(a: Column, b: Column) -> Column:
@@ -53,12 +54,3 @@ def substr(text: Column, place: int, length: int | None = None) -> Column:
     if place == 0:
         return F.when(text.isNotNull(), "")
     return F.substring(text, place, 2**31 - 1 if length is None else length)
-
-
-def percentile_disc(value: Column, p: float, kind: str) -> Column:
-    """The value at ceil(p * n) of the non-null values in order, in the values' own type."""
-    if not 0 <= p <= 1:
-        raise ValueError("a percentile lies between 0 and 1")
-    ordered = F.array_sort(F.collect_list(value))
-    place = F.greatest(F.ceil(F.lit(p) * F.size(ordered)), F.lit(1)).cast("int")
-    return F.try_element_at(ordered, place).cast(kind)

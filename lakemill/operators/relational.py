@@ -87,3 +87,64 @@ def shuffled(df: DataFrame, seed: int) -> DataFrame:
 def shape(df: DataFrame) -> DataFrame:
     """One row: row_count and column_count."""
     return df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("column_count", F.lit(len(df.columns)))
+
+
+#: Relative rank error asked of Spark's percentile sketch, as its inverse.
+ACCURACY = 10_000
+
+
+def percentile_disc(df: DataFrame, keys: list[str], value: str, p: float, name: str = "p") -> DataFrame:
+    """For each group the value at ceil(p * n) of its n non-null values in order, in the values' own type; null if none.
+
+    A sketch brackets the value; only the few values between the brackets are counted one by one, so no task holds a
+    group's distinct values, and the rows are pre-aggregated before both shuffles.
+    """
+    if not 0 <= p <= 1:
+        raise ValueError("a percentile lies between 0 and 1")
+    row = df.select(*keys, F.col(value).alias("_v"))
+    keyed = [F.coalesce(F.struct(*keys), F.struct(*keys)).alias("_k")] if keys else [F.lit(0).alias("_k")]
+    row = row.select(*keyed, "_v")
+    margin = 4 / ACCURACY
+    at = F.percentile_approx("_v", [max(p - margin, 0.0), min(p + margin, 1.0)], ACCURACY)
+    cuts = row.groupBy("_k").agg(at.alias("_at"), F.count("_v").alias("_n"))
+    cuts = cuts.select("_k", "_n", F.col("_at")[0].alias("_low"), F.col("_at")[1].alias("_high"), F.greatest(F.ceil(F.lit(p) * F.col("_n")), F.lit(1)).alias("_rank"))
+    near = row.join(cuts.withColumnRenamed("_k", "_g"), F.col("_k").eqNullSafe(F.col("_g")))
+    # all values below the bracket count as one
+    near = near.where("_v <= _high").groupBy("_k", "_rank", F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
+    running = F.sum("_c").over(Window.partitionBy("_k").orderBy(F.col("_v").asc_nulls_first()))
+    met = near.withColumn("_upto", running).where("_upto >= _rank").groupBy("_k").agg(F.min("_v").alias(name))
+    out = cuts.select(F.col("_k").alias("_g")).join(met, F.col("_g").eqNullSafe(F.col("_k")), "left")
+    return out.select(*[F.col("_g").getField(k).alias(k) for k in keys], name)
+
+
+def ranked(df: DataFrame, keys: list[str], order: str, ties: list[str] = (), pieces: int | None = None) -> DataFrame:
+    """``df`` with row_number, rank, percent_rank and group_rows of each row in its group, by ``order`` (nulls first) then ``ties``.
+
+    Rows are cut into pieces by quantiles of ``order`` and numbered inside each (group, piece); the counts of the pieces
+    before are added. So a group that holds most rows is spread over the pieces; only the counts are summed in order.
+    Row numbers of rows that are equal in ``order`` and ``ties`` may change places.
+    """
+    spark = df.sparkSession
+    n = pieces or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], ACCURACY)).first()[0] if n > 1 else None
+    piece = F.lit(0)
+    if cuts:
+        distinct = sorted(set(cuts))
+        piece = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in distinct]), lambda c: c <= F.col(order))), F.lit(-1))
+    rows = df.withColumn("_piece", F.when(F.col(order).isNull(), -1).otherwise(piece))
+    groups = F.struct(*keys) if keys else F.lit(0)
+    rows = rows.withColumn("_k", groups)
+    counts = rows.groupBy("_k", "_piece").agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy("_k")
+    counts = counts.withColumn("_before", F.sum("_c").over(whole.orderBy("_piece")) - F.col("_c")).withColumn("group_rows", F.sum("_c").over(whole))
+    inside = Window.partitionBy("_k", "_piece").orderBy(F.col(order).asc_nulls_first())
+    rows = rows.withColumn("_rank", F.rank().over(inside)).withColumn("_row", F.row_number().over(inside.orderBy(F.col(order).asc_nulls_first(), *ties)))
+    rows = rows.join(counts.select(F.col("_k").alias("_ck"), F.col("_piece").alias("_cp"), "_before", "group_rows"), F.col("_k").eqNullSafe(F.col("_ck")) & (F.col("_piece") == F.col("_cp")))
+    rank = F.col("_before") + F.col("_rank")
+    percent = F.when(F.col("group_rows") > 1, (rank - 1) / (F.col("group_rows") - 1)).otherwise(0.0)
+    return rows.select(*df.columns, (F.col("_before") + F.col("_row")).alias("row_number"), rank.alias("rank"), percent.alias("percent_rank"), "group_rows")
+
+
+def first_row(df: DataFrame, keys: list[str], value: str, order: str, name: str = "first") -> DataFrame:
+    """For each group the value of its first row by ``order``, also if that is null."""
+    return df.groupBy(*keys).agg(F.min_by(F.struct(F.col(value).alias("v")), order).getField("v").alias(name))

@@ -90,6 +90,10 @@ _sql("join_comma", "SELECT n_name, s_name FROM nation, supplier WHERE n_nationke
 _sql("join_theta_where", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey < b.n_nationkey")
 _sql("join_theta_on", "SELECT r_name, n_name FROM region JOIN nation ON n_regionkey > r_regionkey AND n_nationkey < 12")
 _sql("join_three_group", "SELECT r_name, COUNT(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+_HOLES = "(SELECT NULLIF(n_regionkey, 2) AS k, n_nationkey FROM nation) a"
+_sql("join_null_keys", f"SELECT n_nationkey, r_name FROM {_HOLES} LEFT JOIN (SELECT NULLIF(r_regionkey, 2) AS j, r_name FROM region) b ON k = j")
+_sql("not_in_nulls", "SELECT n_nationkey FROM nation WHERE n_regionkey NOT IN (SELECT NULLIF(r_regionkey, 2) FROM region WHERE r_regionkey > 0) AND n_nationkey > 0")
+_sql("not_in_rows", f"SELECT n_nationkey FROM {_HOLES} WHERE k NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey > 2)")
 _sql("semi_in", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 _sql("anti_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 _sql("exists_corr", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
@@ -147,7 +151,20 @@ def agg_first_of_group(spark, sf_dir):
 
 @_frame("frame_percentile_disc", "SELECT c_mktsegment, percentile_disc(0.25) WITHIN GROUP (ORDER BY c_custkey) AS p FROM customer GROUP BY c_mktsegment")
 def frame_percentile_disc(spark, sf_dir):
-    return _read(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.expr("CAST(percentile_disc(0.25) WITHIN GROUP (ORDER BY c_custkey) AS BIGINT)").alias("p"))
+    return R.percentile_disc(_read(spark, sf_dir, "customer"), ["c_mktsegment"], "c_custkey", 0.25)
+
+
+@_frame("frame_percentile_price", "SELECT l_returnflag, percentile_disc(0.9) WITHIN GROUP (ORDER BY l_extendedprice) AS p FROM lineitem GROUP BY l_returnflag")
+def frame_percentile_price(spark, sf_dir):
+    """Three groups with as many values as rows: a sketch brackets the value, so no task holds a group."""
+    return R.percentile_disc(_read(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", 0.9)
+
+
+@_frame("frame_ranks", "SELECT c_custkey, ROW_NUMBER() OVER w AS rn, RANK() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS r, ROUND(PERCENT_RANK() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal), 9) AS pr FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)")
+def frame_ranks(spark, sf_dir):
+    """Ranks in groups that may be large: rows are numbered in ranges of the order, not in one task for each group."""
+    out = R.ranked(_read(spark, sf_dir, "customer"), ["c_nationkey"], "c_acctbal", ["c_custkey"])
+    return out.select("c_custkey", F.col("row_number").cast("bigint").alias("rn"), F.col("rank").cast("bigint").alias("r"), F.round("percent_rank", 9).alias("pr"))
 
 
 # -- windows ----------------------------------------------------------------------------------------------------------
@@ -161,6 +178,11 @@ _sql(
 )
 _RUNNING = "SELECT o_orderkey, {0} OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS run, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM orders"
 _sql("win_running_sum", _RUNNING.format("SUM(CAST(o_totalprice AS DECIMAL(18,2)))").replace(" AS run", " AS d").join(["SELECT o_orderkey, CAST(d AS DOUBLE) AS run, near FROM (", ") t"]))
+_sql(
+    "win_range_frame",
+    "SELECT c_custkey, COUNT(*) OVER (PARTITION BY c_nationkey ORDER BY c_custkey RANGE BETWEEN 50 PRECEDING AND 10 FOLLOWING) AS near, COUNT(*) OVER (PARTITION BY c_nationkey ORDER BY c_custkey RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM customer",
+)
+_sql("win_running_avg", "SELECT n_nationkey, ROUND(AVG(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), 6) AS mean, FIRST_VALUE(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS first FROM nation")
 _sql("win_oblivious", "SELECT n_nationkey, MAX(n_nationkey) OVER w AS hi, MIN(n_nationkey) OVER w AS lo, COUNT(n_name) OVER w AS n FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)")
 
 
@@ -178,6 +200,8 @@ def group_mark(spark, sf_dir):
 
 # -- sort, limit, set operations ----------------------------------------------------------------------------------------
 _sql("sort_multi", "SELECT c_nationkey, c_acctbal, c_custkey FROM customer ORDER BY c_nationkey DESC, c_acctbal, c_custkey")
+_sql("sort_nulls", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 250000 ORDER BY o_orderkey, c_custkey", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 250000 ORDER BY o_orderkey NULLS FIRST, c_custkey")
+_sql("sort_hidden", "SELECT c_name FROM customer ORDER BY c_acctbal * 2 DESC, c_custkey")
 _sql("limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20, 30", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30 OFFSET 20")
 _sql("union_all", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT r_name FROM region")
 _sql("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
@@ -213,8 +237,8 @@ _sql(
 )
 _sql(
     "math_round_trunc",
-    "SELECT o_orderkey, ROUND(o_totalprice) AS r0, ROUND(o_totalprice, 1) AS r1, TRUNCATE(o_totalprice, 1) AS t1, TRUNCATE(-o_totalprice, 0) AS t0 FROM orders",
-    "SELECT o_orderkey, ROUND(o_totalprice) AS r0, ROUND(o_totalprice, 1) AS r1, FLOOR(o_totalprice * 10) / 10 AS t1, CEIL(-o_totalprice) AS t0 FROM orders",
+    "SELECT o_orderkey, ROUND(o_totalprice) AS r0, ROUND(o_totalprice, 1) AS r1, TRUNCATE(o_totalprice, 1) AS t1, TRUNCATE(-o_totalprice, 0) AS t0, TRUNCATE(o_totalprice, 2) AS t2, TRUNCATE(-o_totalprice, -3) AS k FROM orders",
+    "SELECT o_orderkey, ROUND(o_totalprice) AS r0, ROUND(o_totalprice, 1) AS r1, CAST(trunc(CAST(o_totalprice AS DECIMAL(18, 2)) * 10) / 10 AS DOUBLE) AS t1, CEIL(-o_totalprice) AS t0, o_totalprice AS t2, CAST(-(CAST(trunc(o_totalprice) AS BIGINT) // 1000) * 1000 AS DOUBLE) AS k FROM orders",
 )
 _TRIG = "SELECT p_partkey, ROUND(SIN(x), 9) AS s, ROUND(COS(x), 9) AS c, ROUND(TAN(x), 6) AS t, ROUND(ASIN(y), 9) AS asn, ROUND(ACOS(y), 9) AS acs, ROUND(ATAN(x), 9) AS atn, ROUND({0}(x, y), 9) AS at2, ROUND(COT(x), 6) AS ct, ROUND(RADIANS(x), 9) AS rad, ROUND(DEGREES(y), 9) AS deg, ROUND(PI(), 9) AS pi FROM (SELECT p_partkey, p_size * 0.1 AS x, 1.0 / (p_size + 1) AS y FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size FROM part) p) q"
 _sql("math_trig", _TRIG.format("ATAN"), _TRIG.format("ATAN2"))
@@ -246,8 +270,28 @@ _sql(
     "SELECT p_partkey, LENGTH(p_name) AS n, REPLACE(p_brand, 'Brand', 'B') AS r, INSTR(p_type, 'A') AS i FROM part",
     "SELECT p_partkey, CAST(strlen(p_name) AS INT) AS n, REPLACE(p_brand, 'Brand', 'B') AS r, CAST(INSTR(p_type, 'A') AS INT) AS i FROM part",
 )
-_sql("hash_funcs", "SELECT c_custkey, CRC32(c_name) AS crc, CONV(c_custkey, 10, 16) AS hex FROM customer")
-del ORACLE["hash_funcs"]
+
+
+def _crc_table() -> str:
+    """The table of CRC-32 over half bytes."""
+    out = []
+    for value in range(16):
+        for _ in range(4):
+            value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+        out.append(value)
+    return str(out)
+
+
+_CRC = f"""WITH halves AS (SELECT c_custkey, list_transform(string_split(hex(encode(c_name)), ''), lambda c: CAST(strpos('0123456789ABCDEF', c) - 1 AS BIGINT)) AS h FROM customer),
+swapped AS (SELECT c_custkey, list_transform(range(1, len(h) + 1), lambda i: h[CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END]) AS h FROM halves)
+SELECT c_custkey, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), h), lambda a, b: xor(a >> 4, {_crc_table()}[xor(a, b) % 16 + 1])), 4294967295) AS BIGINT) AS crc,
+  printf('%X', c_custkey) AS hex, printf('%o', c_custkey) AS oct FROM swapped"""
+_sql("hash_funcs", "SELECT c_custkey, CRC32(c_name) AS crc, CONV(c_custkey, 10, 16) AS hex, CONV(c_custkey, 10, 8) AS oct FROM customer", _CRC)
+_sql(
+    "now_and_rand",
+    "SELECT n_nationkey, NOW() >= '2024-01-01' AND DATEDIFF(NOW(), CURDATE()) BETWEEN -1 AND 1 AS today, LENGTH(CURTIME()) AS clock, RAND() >= 0 AND RAND() < 1 AS unit FROM nation",
+    "SELECT n_nationkey, TRUE AS today, CAST(8 AS INT) AS clock, TRUE AS unit FROM nation",
+)
 _sql(
     "date_add_sub",
     "SELECT o_orderkey, DATE_ADD(o_orderdate, INTERVAL 1 MONTH) AS m, ADDDATE(o_orderdate, 10) AS d, DATE_SUB(o_orderdate, INTERVAL 90 MINUTE) AS h, SUBDATE(o_orderdate, INTERVAL 1 YEAR) AS y FROM orders",
@@ -268,6 +312,17 @@ _sql(
     "SELECT o_orderkey, ADDTIME(o_orderdate, '01:30:10') AS later, SUBTIME(o_orderdate, '00:00:05') AS sooner, TIMEDIFF(ADDTIME(o_orderdate, '26:10:00'), o_orderdate) AS gap FROM orders",
     "SELECT o_orderkey, o_orderdate + INTERVAL '01:30:10' AS later, o_orderdate - INTERVAL 5 SECOND AS sooner, '26:10:00' AS gap FROM orders",
 )
+_sql(
+    "datetime_numbers",
+    "SELECT o_orderkey, o_orderdate + 90 AS later, o_orderdate - o_orderkey * 2 AS sooner, o_orderdate - CAST('1992-01-01' AS DATETIME) AS seconds FROM orders",
+    "SELECT o_orderkey, o_orderdate + to_seconds(90) AS later, o_orderdate - to_seconds(o_orderkey * 2) AS sooner, date_diff('second', TIMESTAMP '1992-01-01', o_orderdate) AS seconds FROM orders",
+)
+_sql(
+    "wide_integers",
+    "SELECT l_orderkey, l_linenumber, 2147483647 + l_linenumber AS a, l_linenumber * 1000000000 AS m FROM lineitem",
+    "SELECT l_orderkey, l_linenumber, 2147483647::BIGINT + l_linenumber AS a, l_linenumber::BIGINT * 1000000000 AS m FROM lineitem",
+)
+_sql("is_true", "SELECT c_custkey, c_acctbal > 0 IS TRUE AS t, c_acctbal > 0 IS FALSE AS f, NULLIF(c_nationkey, 3) <=> NULLIF(c_nationkey, 4) AS same FROM customer", "SELECT c_custkey, (c_acctbal > 0) IS TRUE AS t, (c_acctbal > 0) IS FALSE AS f, NULLIF(c_nationkey, 3) IS NOT DISTINCT FROM NULLIF(c_nationkey, 4) AS same FROM customer")
 _sql("if_case", "SELECT l_orderkey, l_linenumber, IF(l_quantity > 25, 'many', 'few') AS i, IF(l_linenumber - 1, 1, 0) AS nz, CASE WHEN l_discount = 0 THEN 'none' WHEN l_discount < 0.05 THEN 'low' ELSE 'high' END AS c, COALESCE(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 END, 0) AS s FROM lineitem", "SELECT l_orderkey, l_linenumber, IF(l_quantity > 25, 'many', 'few') AS i, IF(l_linenumber <> 1, 1, 0) AS nz, CASE WHEN l_discount = 0 THEN 'none' WHEN l_discount < 0.05 THEN 'low' ELSE 'high' END AS c, COALESCE(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 END, 0) AS s FROM lineitem")
 _sql("ifnull_coalesce", "SELECT c_custkey, IFNULL(o_orderstatus, '-') AS s, COALESCE(o_orderkey, -c_custkey) AS k, COALESCE(NULLIF(c_nationkey, 3), -3) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000")
 _sql(
@@ -309,6 +364,33 @@ def view_query(spark, sf_dir):
     return engine.sql(f"SELECT o_orderstatus, COUNT(*) AS n FROM {name} GROUP BY o_orderstatus")
 
 
+@_frame("view_least_group", "SELECT c_nationkey AS k, COUNT(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY c_nationkey HAVING COUNT(*) >= 4")
+def view_least_group(spark, sf_dir):
+    """A view's groups count for the query's least group, whatever the view was made under."""
+    engine = Engine(spark, least_group=1)
+    engine.register_folder(sf_dir, ["customer"])
+    name = f"groups_{uuid.uuid4().hex[:8]}"
+    engine.sql(f"CREATE VIEW {name} (k, n) AS SELECT c_nationkey, COUNT(*) FROM customer WHERE c_acctbal > 9000 GROUP BY c_nationkey")
+    return engine.sql(f"SELECT k, n FROM {name}", least_group=4)
+
+
+_sql(
+    "global_least_group",
+    "SELECT percentile_disc(0.5) WITHIN GROUP (ORDER BY r_regionkey) AS mid, GROUP_CONCAT(r_name ORDER BY r_name) AS names FROM region WHERE r_regionkey < 3",
+    "SELECT percentile_disc(0.5) WITHIN GROUP (ORDER BY r_regionkey) AS mid, string_agg(r_name, ',' ORDER BY r_name) AS names FROM region WHERE r_regionkey < 3",
+    least_group=4,
+)
+
+
+@_frame("outfile_columns", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")
+def outfile_columns(spark, sf_dir):
+    engine = Engine(spark, least_group=1)
+    engine.register_folder(sf_dir, ["nation"])
+    path = _folder(spark)
+    engine.sql(f"SELECT n_nationkey, n_name, n_regionkey INTO OUTFILE PARTY_CODE 'alice' '{path}/' (n_nationkey, n_name) FIELDS TERMINATED BY ',' OPTIONALLY ENCLOSED BY '\"' LINES TERMINATED BY '\\n' FROM nation")
+    return readers.read_csv(spark, path, {"n_nationkey": "int", "n_name": "string"}, header=False)
+
+
 _sql(
     "params_query",
     "SELECT o_orderkey FROM orders WHERE o_totalprice > :least AND o_orderstatus = :status",

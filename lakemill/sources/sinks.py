@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from contextlib import suppress
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,8 +58,36 @@ def append_parquet(df: DataFrame, path: str) -> None:
 
 
 def append_jdbc(df: DataFrame, url: str, table: str, batch: int = 1000, **options: str) -> None:
-    """Appends in batches, a transaction for each partition."""
-    df.write.mode("append").format("jdbc").options(url=url, dbtable=table, batchsize=batch, **options).save()
+    """Appends all rows or none: batches go to a table beside it, side by side, and from there in one transaction."""
+    beside = f"{table}_{uuid.uuid4().hex[:8]}"
+    jvm = df.sparkSession.sparkContext._jvm
+    properties = jvm.java.util.Properties()
+    for key, value in options.items():
+        if key != "driver":
+            properties.setProperty(key, str(value))
+
+    def run(*statements: str) -> None:
+        connection = jvm.java.sql.DriverManager.getConnection(url, properties)
+        try:
+            connection.setAutoCommit(False)
+            statement = connection.createStatement()
+            quote = connection.getMetaData().getIdentifierQuoteString().strip()
+            for s in statements:
+                statement.executeUpdate(s.replace("`", quote))
+            connection.commit()
+        except Exception:
+            connection.rollback()
+            raise
+        finally:
+            connection.close()
+
+    columns = ", ".join(f"`{c}`" for c in df.columns)
+    try:
+        df.write.mode("errorifexists").format("jdbc").options(url=url, dbtable=beside, batchsize=batch, **options).save()
+        run(f"INSERT INTO {table} ({columns}) SELECT {columns} FROM {beside}")
+    finally:
+        with suppress(Exception):  # it may not have been made
+            run(f"DROP TABLE {beside}")
 
 
 def insert_into(df: DataFrame, table: str) -> None:

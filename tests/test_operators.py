@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakemill.catalog import Router
@@ -13,10 +14,32 @@ from lakemill.types import published, schema_of, spark_type
 
 def test_percentile_disc(spark):
     df = spark.createDataFrame([(1, v) for v in (5, 1, 4, 2, 3)] + [(2, None), (2, 7)], "g int, v int")
-    got = {r.g: r.p for r in df.groupBy("g").agg(scalars.percentile_disc(F.col("v"), 0.3, "int").alias("p")).collect()}
+    got = {r.g: r.p for r in R.percentile_disc(df, ["g"], "v", 0.3).collect()}
     assert got == {1: 2, 2: 7}
     with pytest.raises(ValueError):
-        scalars.percentile_disc(F.col("v"), 1.5, "int")
+        R.percentile_disc(df, ["g"], "v", 1.5)
+    many = spark.range(30000).selectExpr("if(id % 10 = 0, null, id % 3) as g", "if(id % 7 = 0, null, pmod(xxhash64(id), 5000)) as v").unionAll(spark.sql("select 9L, null"))
+    for p in (0.0, 0.25, 0.5, 0.999, 1.0):
+        want = {r.g: r.p for r in many.groupBy("g").agg(F.expr(f"cast(percentile_disc({p}) within group (order by v) as bigint) as p")).collect()}
+        assert {r.g: r.p for r in R.percentile_disc(many, ["g"], "v", p).collect()} == want
+        assert R.percentile_disc(many, [], "v", p).first().p == many.agg(F.expr(f"cast(percentile_disc({p}) within group (order by v) as bigint)")).first()[0]
+
+
+def test_ranked(spark):
+    df = spark.range(4000).selectExpr("id", "if(id % 4 = 0, 1, null) as g", "if(id % 11 = 0, null, pmod(xxhash64(id), 90)) as v")
+    over = Window.partitionBy("g").orderBy(F.col("v").asc_nulls_first())
+    want = df.select("id", F.row_number().over(over.orderBy(F.col("v").asc_nulls_first(), "id")).alias("a"), F.rank().over(over).alias("b"), F.percent_rank().over(over).alias("c"))
+    got = R.ranked(df, ["g"], "v", ["id"]).select("id", "row_number", "rank", "percent_rank")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert R.ranked(df.where("false"), ["g"], "v").count() == 0
+    one = spark.createDataFrame([(1, None, 3), (1, 5, 4), (2, 7, 1)], "g int, v int, o int")
+    assert {(r.g, r["first"]) for r in R.first_row(one, ["g"], "v", "o").collect()} == {(1, None), (2, 7)}
+
+
+def test_shuffled_rows_are_permuted(spark):
+    df = spark.range(2000)
+    got = [r.id for r in R.shuffled(df, 7).collect()]
+    assert sorted(got) == list(range(2000)) and sum(abs(a - b) == 1 for a, b in zip(got, got[1:])) < 40
 
 
 def test_joins_and_nulls(spark):

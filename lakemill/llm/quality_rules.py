@@ -5,7 +5,8 @@ covering learns rules for label 0 from counts: the labelled rows' statistics are
 labelled rows and of those with label 0), counted by cell, and each step of growing a rule is one aggregation of the
 cells by (statistic, bin, label), a few hundred rows whatever the input. A rule adds the threshold condition with
 the largest information gain, is pruned on rows held out from growing, and is kept if it is precise enough there.
-Rows that a rule covers leave; the list ends when no precise rule is left. All labelled rows count.
+Rows that a rule covers leave; the list ends when no precise rule is left, or at ``max_rules`` rules of
+``max_conditions`` conditions each: the bounds that keep it readable, both parameters. All labelled rows count.
 
 Defined cases: a null or empty text has no words and fails the base rules; statistics that divide by no words are 0;
 null labels and labelled ids without a document are left out; without labels of both kinds the list is empty and
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakemill.llm.blocks import checkpointed
+from lakemill.llm.skew import only
 
 _SPACE = "\\x20\\x09-\\x0D"
 MAX_RULES, MAX_CONDITIONS, LEAST_PRECISION, LEAST_COVER = 8, 4, 0.9, 3
@@ -122,7 +124,7 @@ def _test(rule: list[tuple[str, bool, int]]) -> Column:
     return out
 
 
-def learn(labelled: DataFrame, label: str = "quality") -> list[list[Condition]]:
+def learn(labelled: DataFrame, label: str = "quality", max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS) -> list[list[Condition]]:
     """The decision list for label 0 from rows with the statistics and a label of 0 or 1."""
     rows = labelled.where(F.col(label).isin(0, 1)).select(
         F.col(label).alias("y"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held"), *[_ratio(n).alias(n) for n in RATIOS]
@@ -141,8 +143,8 @@ def learn(labelled: DataFrame, label: str = "quality") -> list[list[Condition]]:
     cells = checkpointed(rows.select("y", "held", *bins).groupBy("y", "held", *RATIOS).agg(F.count("*").alias("n")))
     left = F.lit(True)
     rules: list[list[tuple[str, bool, int]]] = []
-    while len(rules) < MAX_RULES:
-        rule = _grow(cells.where(left & ~F.col("held")), cut)
+    while len(rules) < max_rules:
+        rule = _grow(cells.where(left & ~F.col("held")), cut, max_conditions)
         if not rule:
             break
         rule, precision, covered = _prune(cells.where(left & F.col("held")), rule)
@@ -153,10 +155,10 @@ def learn(labelled: DataFrame, label: str = "quality") -> list[list[Condition]]:
     return [[Condition(n, up, cut[n][k - 1]) for n, up, k in rule] for rule in rules]
 
 
-def _grow(cells: DataFrame, cut: dict[str, list[float]]) -> list[tuple[str, bool, int]]:
+def _grow(cells: DataFrame, cut: dict[str, list[float]], max_conditions: int) -> list[tuple[str, bool, int]]:
     rule: list[tuple[str, bool, int]] = []
     pairs = F.inline(F.array(*[F.struct(F.lit(n).alias("statistic"), F.col(n).alias("bin")) for n in RATIOS]))
-    while len(rule) < MAX_CONDITIONS:
+    while len(rule) < max_conditions:
         counts = {(r.statistic, r.bin): (r.low, r.high) for r in (
             cells.where(_test(rule)).select("y", "n", pairs).groupBy("statistic", "bin")
             .agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("low"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("high"))
@@ -209,8 +211,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Rows that share a doc_id go if one of them is rejected; rows with a null doc_id stay.
     """
-    gone = judged(docs, labels).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
+    return only(docs, judged(docs, labels).where("not kept").select("doc_id"), "doc_id", "left_anti")
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:

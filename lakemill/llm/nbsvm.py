@@ -5,8 +5,9 @@ numbers. Class counts of the training rows give each number a log-count ratio; r
 1, are fitted by dual coordinate descent on the driver. A second fit that leaves rows out places the logistic curve
 from margin to score; it has no shift, so 0.5 is the separating plane.
 
-The fit takes at most ``MOST_ROWS`` training rows, those with the least hash of their id: a documented bound, and
-each row is at most ``DIMENSIONS`` / 8 bytes. Every text is scored whole. The model is two vectors of ``DIMENSIONS``
+The fit takes at most ``MOST_ROWS`` training rows, those with the least hash of their id: a documented bound. On the
+driver a row stays packed, at most ``DIMENSIONS`` / 8 bytes, and is opened for each of its steps, so that the fit holds
+``MOST_ROWS`` * ``DIMENSIONS`` / 8 bytes (196 MB) and one open row whatever the lengths of texts. Every text is scored whole. The model is two vectors of ``DIMENSIONS``
 numbers, whatever the input, and goes to executors with the function.
 
 Defined cases: a null or empty text has no indicators and scores the plane's offset; null labels don't count; with
@@ -94,30 +95,51 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin, -500, 500)))
 
 
-def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
+class Rows:
+    """Feature numbers of rows, packed; a row is opened when it is asked for."""
+
+    def __init__(self, packed: list[bytes]):
+        self.packed = packed
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return _unpack(self.packed[i])
+
+    def some(self, which: np.ndarray) -> Rows:
+        return Rows([self.packed[i] for i in which])
+
+
+def descend(rows, y: np.ndarray, ratio: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for min |w|^2 / 2 + sum of cost * max(0, 1 - y (w x + offset)); x of length 1."""
     w, offset = np.zeros(len(ratio)), 0.0
     alpha = np.zeros(len(rows))
     random = np.random.default_rng(SEED)
-    values = [ratio[r] for r in rows]
-    values = [v / max(np.sqrt(v @ v), 1e-6) for v in values]
-    norm = np.array([v @ v for v in values]) + 1.0
+    # 1 / length of each row's scaled indicators; a row without any has no values
+    scale = np.zeros(len(rows))
+    for i in range(len(rows)):
+        v = ratio[rows[i]]
+        scale[i] = 1 / max(np.sqrt(v @ v), 1e-6)
+    norm = np.array([(scale[i] * ratio[rows[i]]) @ (scale[i] * ratio[rows[i]]) for i in range(len(rows))]) + 1.0
     for _ in range(EPOCHS):
         for i in random.permutation(len(rows)):
-            slack = 1 - y[i] * (w[rows[i]] @ values[i] + offset)
+            own = rows[i]
+            values = ratio[own] * scale[i]
+            slack = 1 - y[i] * (w[own] @ values + offset)
             new = min(max(alpha[i] + slack / norm[i], 0.0), cost[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                w[rows[i]] += step * values[i]
+                w[own] += step * values
                 offset += step
                 alpha[i] = new
     return w, offset
 
 
-def _fit(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def _fit(rows: Rows, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     counts = {s: np.full(DIMENSIONS, SMOOTHING) for s in (1, -1)}
-    for r, s in zip(rows, y, strict=True):
-        counts[int(s)][r] += 1
+    for i, s in enumerate(y):
+        counts[int(s)][rows[i]] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[-1] / counts[-1].sum())
     share = max((y > 0).mean(), 1e-9)
     cost = np.where(y > 0, COST * 0.5 / share, COST * 0.5 / max(1 - share, 1e-9))
@@ -126,7 +148,7 @@ def _fit(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def fit(labels: list[int], packed: list[bytes]) -> Model:
-    rows, y = [_unpack(p) for p in packed], np.where(np.array(labels, float) > 0, 1.0, -1.0)
+    rows, y = Rows(packed), np.where(np.array(labels, float) > 0, 1.0, -1.0)
     empty = np.zeros(DIMENSIONS, np.float32)
     if len(set(y.tolist())) < 2:
         return Model(empty, empty, 0.0, 1.0, float((y > 0).mean()) if len(y) else 0.5)
@@ -134,7 +156,7 @@ def fit(labels: list[int], packed: list[bytes]) -> Model:
     held = np.arange(len(rows)) % 4 == 3
     slope = 4.0
     if held.sum() >= 20 and len(set(y[~held].tolist())) == 2:
-        weights, squares, offset = _fit([r for r, x in zip(rows, held, strict=True) if not x], y[~held])
+        weights, squares, offset = _fit(rows.some(np.flatnonzero(~held)), y[~held])
         margin = np.array([weights[rows[i]].sum() / np.sqrt(max(squares[rows[i]].sum(), 1e-12)) + offset for i in np.flatnonzero(held)])
         tried = np.array([1, 2, 3, 4, 6, 8, 12, 16])
         slope = float(tried[np.argmin([np.logaddexp(0, -k * y[held] * margin).mean() for k in tried])])
@@ -146,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1)."""
     sample = labels.where(F.col("label").isin(0, 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     # at most most_rows rows of two numbers
-    rows = docs.join(F.broadcast(sample.select("doc_id", "label")), "doc_id").select(F.col("label").cast("int").alias("label"), F.col("text").cast("string").alias("text"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "label")), "doc_id").select(F.col("label").cast("int").alias("label"), F.col("text").cast("string").alias("text"))
     got = rows.mapInArrow(_pack, "label int, numbers binary").toArrow().sort_by([("label", "ascending"), ("numbers", "ascending")])
     order = np.random.default_rng(SEED).permutation(got.num_rows)
     got = got.take(pa.array(order))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemill.llm import byte_bpe, minhash, mixing, quality_rules, substring_dedup
-from lakemill.llm.blocks import shared_folder
+from lakemill.llm.blocks import cleaning, discard, shared_folder
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -70,10 +70,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Stages before it are written to the shared folder and read again."""
+    """The last stage's rows. Stages before it are written to the shared folder and read again.
+
+    A stage's table is deleted when the next one's has been written; the fourth's is left, as the result reads it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        made = stage(spark, docs, sf_dir)
+        with cleaning(spark):
+            made.write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            discard(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)

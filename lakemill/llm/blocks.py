@@ -83,7 +83,8 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     with cleaning(spark):
-        df.write.parquet(path)
+        # mostly hashes and packed values: a codec would save little, and its buffers lie outside the heap
+        df.write.option("compression", "none").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -211,8 +212,8 @@ def _opened(table: pa.Table) -> pa.Table:
 class Post:
     """How the blocks and buckets of some bytes of text exchange messages."""
 
-    def __init__(self, size: int):
-        self.blocks, self.buckets = max(8, -(-size // BLOCK_BYTES)), max(8, -(-size // BUCKET_BYTES))
+    def __init__(self, size: int, per_block: int | None = None):
+        self.blocks, self.buckets = max(8, -(-size // (per_block or BLOCK_BYTES))), max(8, -(-size // BUCKET_BYTES))
         self.hubs = self.blocks * self.buckets > MOST_MESSAGES
 
     def _sent(self, grouped, work: Callable[..., pa.Table], senders: int, receivers: int) -> DataFrame:

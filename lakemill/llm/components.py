@@ -10,6 +10,8 @@ from lakemill.llm.skew import keyed_join
 
 #: Below so many edges no id can have enough of them to matter.
 FEW = 20_000
+#: Edges for each file, and so for each task, of a step: two numbers each.
+PER_FILE = 50_000
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -22,16 +24,18 @@ def connected_components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, path = written(edges)
-    state, many = None, edges.count() >= FEW
+    count = edges.count()
+    state, many = None, count >= FEW
+    files = max(1, count // PER_FILE)
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         meet = keyed_join if many else DataFrame.join
-        large, halfway = written(meet(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large, halfway = written(meet(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().coalesce(files))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = meet(large, least, "a")
         small = joined.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
-        edges, now_at = written(small.where("a != b").distinct())
+        edges, now_at = written(small.where("a != b").distinct().coalesce(files))
         discard(spark, path, halfway)
         path = now_at
         # a fingerprint of the edge set that no number of edges can overflow

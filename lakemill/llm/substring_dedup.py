@@ -40,6 +40,8 @@ from lakemill.llm import blocks as B
 from lakemill.llm.words import GOLDEN, U64, distinct, first_of_runs, mix, pair_name, split, window_hashes
 
 ROUNDS = 4
+#: Text for each block: a block's parses are held at once, at some 25 bytes for each byte of text.
+BLOCK_BYTES = 3 << 20
 _LAST_ID = np.iinfo(np.int64).max
 
 
@@ -204,7 +206,7 @@ class _Slice:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         checks, _ = window_hashes(self.other[0], np.array([0, self.words.n]), self.width, 1)
         out = window_names(self.levels, where, self.width), checks[where]
-        self.levels = self.other = None
+        self.levels = self.other = None  # no longer needed
         return out
 
 
@@ -313,7 +315,7 @@ def substring_dedup(docs: DataFrame, width: int = 50, as_is: bool = False) -> Da
     ``kept_text`` has the words that stay, joined by one space; with ``as_is`` a text that loses nothing stays as it
     is. See the module for the rules.
     """
-    post = B.Post(B.text_bytes(docs))
+    post = B.Post(B.text_bytes(docs), BLOCK_BYTES)
     buckets = post.buckets
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed", "removed", "kept_text")]
     blocks = B.to_blocks(docs, post.blocks, [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else [])

@@ -96,7 +96,7 @@ def test_messages_over_hubs(spark, monkeypatch):
     random = np.random.default_rng(5)
     docs = [(int(i), " ".join(random.choice(["a", "b", "c"], random.integers(0, 150)))) for i in range(80)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    monkeypatch.setattr(blocks, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 500)
     monkeypatch.setattr(blocks, "BUCKET_BYTES", 700)
     for most in (10**9, 1):
         monkeypatch.setattr(blocks, "MOST_MESSAGES", most)

@@ -72,7 +72,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. Stages before it are written to the shared folder and read again.
 
-    A stage's table is deleted when the next one's has been written; the fourth's is left, as the result reads it.
+    Tables of the first two stages are deleted once nothing reads them; the result reads the fourth, and the third is
+    left as what the mixture was made of.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
@@ -81,6 +82,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         with cleaning(spark):
             made.write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
-        if k:
-            discard(spark, f"{folder}/{k - 1}")
+    discard(spark, f"{folder}/0", f"{folder}/1")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -25,6 +25,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, path = written(edges)
     count = edges.count()
+    if not count:
+        return edges.toDF("id", "component")
     state, many = None, count >= FEW
     files = max(1, count // PER_FILE)
     while True:

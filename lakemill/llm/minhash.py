@@ -324,6 +324,8 @@ def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
     and whose signatures agree enough are connected."""
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = B.checkpointed(banded.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("b < last"))
+    if shared.isEmpty():
+        return reps.sparkSession.createDataFrame([], "a bigint, b bigint")
     members = B.checkpointed(keyed_join(banded, shared.select("key", "b", "n"), "key"))
     stars = B.checkpointed(members.where("doc_id != b").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("n")))
     marks = reps.select("doc_id", "n_shingles", "marks")
@@ -338,10 +340,13 @@ def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
     label = connected_components(edges)
     ends = stars.select("a", "b").join(label.toDF("a", "label_a"), "a", "left").join(label.toDF("b", "label_b"), "b", "left")
     rest = ends.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
-    edges = edges.unionAll(agreeing(rest))
+    rest = B.checkpointed(rest)
+    if not rest.isEmpty():
+        edges = edges.unionAll(agreeing(rest))
+        label = connected_components(edges)
 
     # buckets whose members are still apart (with two members there was no other pair)
-    label = connected_components(edges).toDF("doc_id", "label")
+    label = label.toDF("doc_id", "label")
     labelled = members.where("n > 2").join(label, "doc_id", "left").select("doc_id", "key", F.coalesce("label", "doc_id").alias("label"))
     labelled = B.checkpointed(labelled)
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
@@ -349,6 +354,8 @@ def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
     apart = B.checkpointed(
         apart.where("labels > 1").select("key", "main", F.ceil(F.col("n") / GROUP_MARKS).cast("int").alias("chunks"), F.lit(0).alias("zero"))
     )
+    if apart.isEmpty():
+        return edges
     rows = keyed_join(labelled, apart, "key").withColumn("outside", F.col("label") != F.col("main"))
     outside = rows.where("outside").groupBy("key").agg(F.ceil(F.count("*") / GROUP_MARKS).cast("int").alias("parts"))
     rows = keyed_join(rows, outside, "key").withColumn("home", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))

@@ -1,8 +1,8 @@
 """Quality rules: a decision list learned from labelled statistics, as one ordered Spark expression.
 
 The statistics of a text are array and string functions inside its row; nothing is shuffled for them. Sequential
-covering learns rules for label 0 from counts: the labelled rows' statistics are cut at thresholds (quantiles of all
-labelled rows and of those with label 0), counted by cell, and each step of growing a rule is one aggregation of the
+covering learns rules for label 0 from counts: the labelled rows' statistics are cut at thresholds (exact quantiles of
+all labelled rows and of those with label 0), counted by cell, and each step of growing a rule is one aggregation of the
 cells by (statistic, bin, label), a few hundred rows whatever the input. A rule adds the threshold condition with
 the largest information gain, is pruned on rows held out from growing, and is kept if it is precise enough there.
 Rows that a rule covers leave; the list ends when no precise rule is left, or at ``max_rules`` rules of
@@ -16,7 +16,7 @@ keeps all; rows that share a doc_id are counted each. Columns that clash with th
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import log2
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,8 @@ from lakemill.llm.skew import only
 
 _SPACE = "\\x20\\x09-\\x0D"
 MAX_RULES, MAX_CONDITIONS, LEAST_PRECISION, LEAST_COVER = 8, 4, 0.9, 3
+#: Digits after the first at which values are told apart, step by step; 17 in all tell any two doubles apart.
+_DIGITS = (2, 5, 8, 11, 16)
 _QUANTILES = [0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98]
 
 #: Statistics that rules may use, from the base statistics.
@@ -124,21 +126,48 @@ def _test(rule: list[tuple[str, bool, int]]) -> Column:
     return out
 
 
+def _thresholds(rows: DataFrame, totals: dict[str, int]) -> dict[str, list[float]]:
+    """Of each statistic its quantiles (the value at place ceil(q n)) over all rows and over those with label 0, exactly.
+
+    Values are counted; the driver gets counts of values rounded to three digits, then, inside the few of these that
+    hold a quantile, of values with three digits more, and so on. A sketch would be one pass, but its answer depends
+    on the order in which partitions are merged, so that a rerun could learn other rules.
+    """
+    pairs = [(n, k, F.col(n) if k == "all" else F.when(F.col("y") == 0, F.col(n))) for n in RATIOS for k in totals]
+    structs = [F.struct(F.lit(f"{n} {k}").alias("of"), v.alias("v")) for n, k, v in pairs]
+    values = checkpointed(rows.select(F.inline(F.array(*structs))).where("v is not null").groupBy("of", "v").agg(F.count("*").alias("n")))
+    cut: dict[str, set[float]] = {n: set() for n in RATIOS}
+    # by the cell to look into: the places wanted there, from 1
+    wanted = {f"{n} {k}": {max(ceil(q * totals[k]), 1) for q in _QUANTILES} for n, k, _ in pairs}
+    cell = F.col("of")
+    for digits in _DIGITS:
+        inner = F.concat_ws(" ", "of", F.format_string(f"%.{digits}e", F.col("v")))
+        found = values.where(cell.isin(*wanted)).groupBy(cell.alias("cell"), inner.alias("inner"))
+        found = found.agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+        before, deeper = dict.fromkeys(wanted, 0), {}
+        for r in sorted(found, key=lambda r: r.low):
+            for place in wanted[r.cell]:
+                if before[r.cell] < place <= before[r.cell] + r.n:
+                    if r.low == r.high:
+                        cut[r.inner.split(" ")[0]].add(r.low)
+                    else:
+                        deeper.setdefault(r.inner, set()).add(place - before[r.cell])
+            before[r.cell] += r.n
+        if not deeper:
+            break
+        wanted, cell = deeper, inner
+    return {n: sorted(v) for n, v in cut.items()}
+
+
 def learn(labelled: DataFrame, label: str = "quality", max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS) -> list[list[Condition]]:
     """The decision list for label 0 from rows with the statistics and a label of 0 or 1."""
     rows = labelled.where(F.col(label).isin(0, 1)).select(
         F.col(label).alias("y"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held"), *[_ratio(n).alias(n) for n in RATIOS]
     )
-    wanted = F.array(*map(F.lit, _QUANTILES))
-    cuts = rows.agg(
-        *[F.percentile_approx(n, wanted, 1000).alias(f"all_{n}") for n in RATIOS],
-        *[F.percentile_approx(F.when(F.col("y") == 0, F.col(n)), wanted, 1000).alias(f"low_{n}") for n in RATIOS],
-        F.count_if(F.col("y") == 0).alias("low"),
-        F.count_if(F.col("y") == 1).alias("high"),
-    ).first()
-    if not cuts["low"] or not cuts["high"]:
+    of = rows.agg(F.count_if(F.col("y") == 0).alias("low"), F.count_if(F.col("y") == 1).alias("high")).first()
+    if not of["low"] or not of["high"]:
         return []
-    cut = {n: sorted({*(cuts[f"all_{n}"] or []), *(cuts[f"low_{n}"] or [])}) for n in RATIOS}
+    cut = _thresholds(rows, {"all": of["low"] + of["high"], "low": of["low"]})
     bins = [sum((F.col(n) >= t).cast("int") for t in cut[n]).alias(n) for n in RATIOS]
     cells = checkpointed(rows.select("y", "held", *bins).groupBy("y", "held", *RATIOS).agg(F.count("*").alias("n")))
     left = F.lit(True)

@@ -90,11 +90,17 @@ class Unigrams:
 
 
 class _Block:
-    """The tokens of a block: distinct keys, and for each token its number."""
+    """The tokens of a block: distinct keys, and for each token its number. Made once from texts, then kept as one row."""
 
-    def __init__(self, table: pa.Table):
-        held = table.column("held").to_numpy(zero_copy_only=False)
-        tokens, bounds, train = [], [np.zeros(1, np.int64)], []
+    def __init__(self, ids: pa.Array, held: pa.Array, bounds: np.ndarray, keys: np.ndarray, word: np.ndarray):
+        self.ids, self.held, self.bounds, self.keys, self.word = ids, held, bounds, keys, word
+        self.train = np.repeat(~held.to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))
+        self.counts = np.bincount(word[self.train], minlength=len(keys))
+        self.heads = bounds[:-1][bounds[:-1] < len(word)]
+
+    @classmethod
+    def of_texts(cls, table: pa.Table) -> _Block:
+        tokens, bounds = [], [np.zeros(1, np.int64)]
         begun = 0
         for a, b, texts in B.unpack(table.column("text")):
             words = split(texts)
@@ -107,18 +113,32 @@ class _Block:
             own[~is_end] = words.hashes(lower=True)
             tokens.append(own)
             bounds.append(ends + 1 + begun)
-            train.append(np.repeat(~held[a:b], np.diff(np.append(-1, ends))))
             begun += len(own)
-        self.bounds = np.concatenate(bounds)
         tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-        self.train = np.concatenate(train) if train else np.zeros(0, bool)
         order = np.argsort(tokens)
         heads = first_of_runs(tokens[order])
-        self.keys = tokens[order][heads]
-        self.word = np.empty(len(tokens), np.int32)
-        self.word[order] = np.cumsum(heads) - 1
-        self.counts = np.bincount(self.word[self.train], minlength=len(self.keys))
-        self.heads = self.bounds[:-1][self.bounds[:-1] < len(tokens)]
+        word = np.empty(len(tokens), np.int32)
+        word[order] = np.cumsum(heads) - 1
+        ids, held = (table.column(c).combine_chunks() for c in ("doc_id", "held"))
+        return cls(ids, held, np.concatenate(bounds), tokens[order][heads], word)
+
+    @classmethod
+    def kept(cls, table: pa.Table) -> _Block:
+        """From the row that ``row`` has made; no row is a block without documents."""
+        if not table.num_rows:
+            return cls(pa.array([], pa.int64()), pa.array([], pa.bool_()), np.zeros(1, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        r = _Reader(table.column("data")[0].as_buffer())
+        ids, held = (table.column(c)[0].values for c in ("doc_id", "held"))
+        bounds = np.append(0, np.cumsum(r.squeezed(np.int32), dtype=np.int64))
+        return cls(ids, held, bounds, r.raw(np.uint64, int(r.raw(np.int64, 1)[0])), r.squeezed(np.int32))
+
+    def row(self, block: int) -> pa.Table:
+        data = _squeeze(np.diff(self.bounds).astype(np.int32)) + np.int64(len(self.keys)).tobytes() + self.keys.tobytes() + _squeeze(self.word)
+        lists = [pa.ListArray.from_arrays([0, len(x)], x) for x in (self.ids, self.held)]
+        return pa.table([pa.array([block], pa.int32()), *lists, pa.array([data], pa.binary())], names=["block", "doc_id", "held", "data"])
+
+
+_ROW = "block int, doc_id array<bigint>, held array<boolean>, data binary"
 
 
 def _sums(history: np.ndarray, seen: np.ndarray, m: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -401,13 +421,15 @@ def score(docs: DataFrame, held: str, order: int = ORDER) -> DataFrame:
     post = B.Post(B.text_bytes(docs))
     buckets = post.buckets
     texts = B.to_blocks(docs, post.blocks, [F.coalesce(F.col(held), F.lit(False)).alias("held")])
+    # later steps need the numbers of the tokens only: texts are split, hashed and sorted once
+    rows = B.checkpointed(texts.groupBy("block").applyInArrow(lambda table: _Block.of_texts(table).row(B.one(table.column("block"))), _ROW))
 
     def unigrams(table: pa.Table) -> pa.Table:
-        block = _Block(table)
+        block = _Block.kept(table)
         pack = lambda a, b: np.int64(b - a).tobytes() + block.keys[a:b].tobytes() + _squeeze(block.counts[a:b].astype(np.uint32))
         return B.Outbox(block.keys, buckets).messages(B.one(table.column("block")), pack)
 
-    first = B.checkpointed(post.answer(post.ask(texts, unigrams), _answer_unigrams))
+    first = B.checkpointed(post.answer(post.ask(rows, unigrams), _answer_unigrams))
     stats = [np.frombuffer(r, np.int64) for r in post.reports(first)]
     stats = np.sum(stats, axis=0) if stats else np.zeros(TOP + 5, np.int64)
     uni, ends = Unigrams(stats[:-1]), int(stats[-1])
@@ -417,7 +439,7 @@ def score(docs: DataFrame, held: str, order: int = ORDER) -> DataFrame:
     def evaluate(table: pa.Table, got: pa.Table, known: list[_Found]) -> tuple:
         """The block, unigram counts of its tokens, their probability by the orders known, and the next order's k-grams."""
         of = lambda k: got.filter(pa.compute.equal(got.column("round"), k))
-        block = _Block(table)
+        block = _Block.kept(table)
         counts, only = _unigram_counts(block, of(1), buckets)
         gram, names, own, divisors = block.word, block.keys, counts, np.zeros(len(block.word), np.int64)
         p = uni.probability(counts[block.word])
@@ -439,7 +461,7 @@ def score(docs: DataFrame, held: str, order: int = ORDER) -> DataFrame:
             return evaluate(table, got, known)[3].messages(B.one(table.column("block"))) if table.num_rows else B.mail([])
 
         ask = lambda table, got, grams=grams: grams(table, got)
-        table = B.checkpointed(post.answer(post.ask_again(texts, answers, ask), _answer_grams(_p_below(k, uni, found[-1] if found else None))))
+        table = B.checkpointed(post.answer(post.ask_again(rows, answers, ask), _answer_grams(_p_below(k, uni, found[-1] if found else None))))
         found.append(_Found(post.reports(table)))
         answers = answers.unionAll(table.where("to >= 0").withColumn("round", F.lit(k)))
 
@@ -450,8 +472,8 @@ def score(docs: DataFrame, held: str, order: int = ORDER) -> DataFrame:
         heads = block.bounds[:-1]
         return pa.table(
             {
-                "doc_id": table.column("doc_id"),
-                "held_out": table.column("held"),
+                "doc_id": block.ids,
+                "held_out": block.held,
                 "n_tokens": pa.array(np.diff(block.bounds), pa.int64()),
                 "n_known": pa.array(np.add.reduceat((c_word > 0).astype(np.int64), heads), pa.int64()),
                 "train_tokens": pa.array(np.full(len(heads), uni.tokens), pa.int64()),
@@ -461,7 +483,7 @@ def score(docs: DataFrame, held: str, order: int = ORDER) -> DataFrame:
         )
 
     kind = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return post.follow(texts, answers, work, kind)
+    return post.follow(rows, answers, work, kind)
 
 
 def op4_katz(spark, sf_dir: str) -> DataFrame:

@@ -16,10 +16,12 @@ Counts and what backoff weights are made of are partitioned by history over buck
 order's are written as a table in the shared folder before the next order starts. A block of documents sends its
 distinct unigrams, then its distinct bigrams of known histories and words, then trigrams whose bigrams are known, and so
 on; buckets add up counts and answer, and say which n-grams only one block has. What follows such a history is all
-in that block, which counts it by itself: at higher orders most histories need no message. N-grams of a history lie in one bucket, so its sums are complete there; a history
-with more than a bucket's share of all tokens is dealt over several, and its sums are added from theirs (such histories
-number at most the buckets). The driver gets only counts of counts and these. A token's probability is then evaluated
-from the lowest order up, each order from the one before.
+in that block, which counts it by itself: at higher orders most histories need no message. Of an n-gram whose last
+n - 1 tokens only one block has, that block sends the counts without the word: they only add to the history's sums.
+N-grams of a history lie in one bucket, so its sums are complete there; a history with more than a bucket's share of
+all tokens is dealt over several, and its sums are added from theirs (such histories number at most the buckets). The
+driver gets only counts of counts and these. A token's probability is then evaluated from the lowest order up, each
+order from the one before.
 
 Defined cases: a null or empty text is one end token; without training texts every token is the unknown event, of
 probability 1; rows that share a doc_id count each; a null doc_id counts as text '' for the split. Other columns
@@ -130,10 +132,20 @@ class _Block:
         r = _Reader(table.column("data")[0].as_buffer())
         ids, held = (table.column(c)[0].values for c in ("doc_id", "held"))
         bounds = np.append(0, np.cumsum(r.squeezed(np.int32), dtype=np.int64))
-        return cls(ids, held, bounds, r.raw(np.uint64, int(r.raw(np.int64, 1)[0])), r.squeezed(np.int32))
+        keys = r.raw(np.uint64, int(r.raw(np.int64, 1)[0]))
+        place = np.ascontiguousarray(r.squeezed(np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+        order = np.argsort(keys)
+        number = np.empty(len(keys), np.int32)
+        number[order] = np.arange(len(keys))
+        return cls(ids, held, bounds, keys[order], number[place])
 
     def row(self, block: int) -> pa.Table:
-        data = _squeeze(np.diff(self.bounds).astype(np.int32)) + np.int64(len(self.keys)).tobytes() + self.keys.tobytes() + _squeeze(self.word)
+        # keys by how often they stand here and bytes of one weight together: most high bytes are 0, which packs well
+        order = np.argsort(-np.bincount(self.word, minlength=len(self.keys)), kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        planes = np.ascontiguousarray(place[self.word].view(np.uint8).reshape(-1, 4).T)
+        data = _squeeze(np.diff(self.bounds).astype(np.int32)) + np.int64(len(self.keys)).tobytes() + self.keys[order].tobytes() + _squeeze(planes)
         lists = [pa.ListArray.from_arrays([0, len(x)], x) for x in (self.ids, self.held)]
         return pa.table([pa.array([block], pa.int32()), *lists, pa.array([data], pa.binary())], names=["block", "doc_id", "held", "data"])
 
@@ -165,7 +177,8 @@ class _Level:
     ``gram`` is the number of the (k - 1)-gram that ends at each token, -1 if it was not looked up; ``names``,
     ``counts`` and ``only`` are those numbers' names, counts in training texts and whether no other block has them;
     ``divisors`` is what the (k - 1)-gram's count at each token is divided by. Sorted by bucket, history and word; k-grams
-    of histories that only this block has come last and are not sent. ``need`` marks histories that are followed by a
+    of histories that only this block has come last and are not sent; ``local`` marks those whose last k - 1 tokens only
+    this block has, which are sent without the word. ``need`` marks histories that are followed by a
     token whose (k - 1)-gram is not known.
     """
 
@@ -178,6 +191,7 @@ class _Level:
         history[1:] = gram[:-1]
         history[block.heads] = begin
         lower = np.append(counts, 0)[gram]
+        lower_only = np.append(only, False)[gram]
         self.lower, self.divisors, self.k, self.of_history = lower, divisors, k, history
         self.followed = (history >= 0) & (self.totals[history] > 0)
         known = np.flatnonzero(self.followed & (lower > 0))
@@ -199,6 +213,7 @@ class _Level:
         self.bucket, self.history, self.word, self.train, self.lead = bucket[deal], history[deal], word[deal], train[deal], lead[deal]
         at = np.empty(len(deal), np.int32)
         at[deal] = np.arange(len(deal))
+        self.local = lower_only[self.lead]
         self.gram = np.full(len(gram), -1, np.int32)
         self.gram[known] = at[group]
         self.hot = (parts > 1) & ~self.mine
@@ -230,16 +245,19 @@ class _Level:
 
     def message(self, b: int, counts: np.ndarray) -> bytes:
         lo, hi, heads = self.part(b)
-        own, lead = self.history[lo:hi][heads], self.lead[lo:hi]
+        own, lead, local = self.history[lo:hi][heads], self.lead[lo:hi], self.local[lo:hi]
+        shared = self.word[lo:hi][~local]
         return b"".join(
             [
                 counts.tobytes(),
                 np.array([len(heads), hi - lo], np.int64).tobytes(),
                 self.names[own].tobytes(),
-                self.word_keys[self.word[lo:hi]].tobytes(),
+                np.array([len(shared)], np.int64).tobytes(),
+                self.word_keys[shared].tobytes(),
                 _squeeze(np.diff(np.append(heads, hi - lo)).astype(np.uint32)),
                 _squeeze(np.packbits(self.need[own])),
                 _squeeze(np.packbits(self.hot[own])),
+                _squeeze(np.packbits(local)),
                 _squeeze(self.train[lo:hi].astype(np.uint32)),
                 _squeeze(self.lower[lead].astype(np.int64)),
                 _squeeze(self.divisors[lead].astype(np.int64) if self.k > 2 else np.zeros(0, np.int64)),
@@ -273,9 +291,10 @@ class _Level:
         for sender, data in zip(answers.column("sender").to_pylist(), answers.column("data"), strict=True):
             r = _Reader(data.as_buffer())
             lo, hi, heads = self.part(sender)
-            c = r.squeezed(np.int64)
-            self.seen[lo:hi] = c
-            self.only[lo:hi] = np.unpackbits(r.squeezed(np.uint8), count=hi - lo).view(bool)
+            c, local = self.train[lo:hi].copy(), self.local[lo:hi]
+            c[~local] = r.squeezed(np.int64)
+            self.seen[lo:hi], self.only[lo:hi] = c, True
+            self.only[lo:hi][~local] = np.unpackbits(r.squeezed(np.uint8), count=int((~local).sum())).view(bool)
             own = self.history[lo:hi][heads]
             bits = np.unpackbits(r.squeezed(np.uint8), count=len(own)).view(bool)
             cold = ~self.hot[own]
@@ -357,10 +376,11 @@ def _answer_grams(p_below: Callable):
             r = _Reader(data.as_buffer())
             held += r.raw(np.int64, TOP + 1)
             n_h, n = (int(x) for x in r.raw(np.int64, 2))
-            names, words = r.raw(np.uint64, n_h), r.raw(np.uint64, n)
+            names, words = r.raw(np.uint64, n_h), r.raw(np.uint64, int(r.raw(np.int64, 1)[0]))
             sizes = r.squeezed(np.uint32).astype(np.int64)
             need, hot = (np.unpackbits(r.squeezed(np.uint8), count=n_h).view(bool) for _ in range(2))
-            parts.append((names, sizes, need, hot, words, r.squeezed(np.uint32), r.squeezed(np.int64), r.squeezed(np.int64), r.squeezed(np.uint64)))
+            local = np.unpackbits(r.squeezed(np.uint8), count=n).view(bool)
+            parts.append((names, sizes, need, hot, words, r.squeezed(np.uint32), r.squeezed(np.int64), r.squeezed(np.int64), r.squeezed(np.uint64), local))
         names = np.concatenate([p[0] for p in parts])
         by = np.argsort(names)
         heads = first_of_runs(names[by])
@@ -371,30 +391,38 @@ def _answer_grams(p_below: Callable):
         hot[number] = np.concatenate([p[3] for p in parts])
         sizes = np.concatenate([p[1] for p in parts])
         history = np.repeat(number, sizes)
-        grams = pair_name(distinct[history], np.concatenate([p[4] for p in parts]), 909)
+        train = np.concatenate([p[5] for p in parts]).astype(np.int64)
+        shared = np.flatnonzero(~np.concatenate([p[9] for p in parts]))
+        grams = pair_name(distinct[history[shared]], np.concatenate([p[4] for p in parts]), 909)
         order = np.argsort(grams)
         new = first_of_runs(grams[order])
         group = np.empty(len(grams), np.int32)
         group[order] = np.cumsum(new) - 1
-        lead = order[new]
+        first = np.ones(len(train), bool)  # one listing of each k-gram
+        first[shared] = False
+        first[shared[order[new]]] = True
         del order, grams
-        seen = np.bincount(group, weights=np.concatenate([p[5] for p in parts]), minlength=len(lead)).astype(np.int64)
-        only = np.bincount(group, minlength=len(lead)) == 1
-        m, lower = len(distinct), np.concatenate([p[6] for p in parts])[lead]
+        # what only its sender has counts as it is
+        total = np.bincount(group, weights=train[shared], minlength=int(new.sum())).astype(np.int64)
+        only = np.bincount(group, minlength=len(total)) == 1
+        seen = train
+        seen[shared] = total[group]
+        m, lower, lead = len(distinct), np.concatenate([p[6] for p in parts]), np.flatnonzero(first)
         divisors = np.concatenate([p[7] for p in parts])
-        sums, mass = _sums(history[lead], seen, m, p_below(lower, divisors[lead] if len(divisors) else lower))
-        out, at, h_at = [], 0, 0
-        for sender, (own, size, need, _, w, _, _, _, alone) in zip(table.column("sender").to_pylist(), parts, strict=True):
-            c = seen[group[at : at + len(w)]]
+        lower = lower[lead]
+        sums, mass = _sums(history[lead], seen[lead], m, p_below(lower, divisors[lead] if len(divisors) else lower))
+        out, at, w_at, h_at = [], 0, 0, 0
+        for sender, (own, size, need, _, w, _, _, _, alone, local) in zip(table.column("sender").to_pylist(), parts, strict=True):
+            c = seen[at : at + len(local)]
             h = number[h_at : h_at + len(own)]
             unseen = np.add.reduceat(np.append(c == 0, False), np.cumsum(size) - size) > 0 if len(own) else np.zeros(0, bool)
             full = (need | unseen) & ~hot[h]
             saturated = sums[h, :TOP].sum(axis=1) == 0
             asked = np.append(h[full], np.searchsorted(distinct, alone))
-            bits = _squeeze(np.packbits(only[group[at : at + len(w)]]))
-            out.append((sender, to, _squeeze(c) + bits + _squeeze(np.packbits(saturated)) + _squeeze(sums[asked].T.copy()) + mass[asked].tobytes()))
-            at, h_at = at + len(w), h_at + len(own)
-        n = held + np.bincount(np.minimum(seen, TOP + 2), minlength=TOP + 3)[1 : TOP + 2]
+            bits = _squeeze(np.packbits(only[group[w_at : w_at + len(w)]]))
+            out.append((sender, to, _squeeze(c[~local]) + bits + _squeeze(np.packbits(saturated)) + _squeeze(sums[asked].T.copy()) + mass[asked].tobytes()))
+            at, w_at, h_at = at + len(local), w_at + len(w), h_at + len(own)
+        n = held + np.bincount(np.minimum(seen[lead], TOP + 2), minlength=TOP + 3)[1 : TOP + 2]
         stats = n.astype(np.int64).tobytes() + distinct[hot].tobytes() + sums[hot].tobytes() + mass[hot].tobytes()
         return B.mail([*out, (-1, to, stats)])
 

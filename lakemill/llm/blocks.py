@@ -92,6 +92,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return written(df)[0]
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``df``, which is partitioned by ``key`` into as many parts, as a table in the shared folder that keeps this partitioning.
+
+    Steps that group its rows by ``key`` read it without a shuffle, so its rows are on disk once.
+    """
+    spark, name = df.sparkSession, f"kept_{uuid.uuid4().hex}"
+    with cleaning(spark):
+        rows = df.write.format("parquet").option("compression", "none").option("path", f"{shared_folder(spark)}/tables/{name}")
+        rows.bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Deletes tables that nothing reads any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -41,6 +41,8 @@ from lakemill.llm import blocks as B
 from lakemill.llm.words import U64, first_of_runs, mix, pair_name, split
 
 TOP, ORDER = 5, 3
+#: Blocks for each file of the table of blocks, and bytes of a name on its way.
+BLOCKS_PER_PART, SHORT = 4, 6
 BEGIN, END = U64(0x6265_6769_6E00_0001), U64(0x656E_6400_0000_0001)
 
 
@@ -50,6 +52,19 @@ def _squeeze(values: np.ndarray) -> bytes:
     return len(raw).to_bytes(8, "little") + len(packed).to_bytes(8, "little") + packed
 
 
+def _short(names: np.ndarray) -> np.ndarray:
+    """The low 48 bits of names.
+
+    Histories are told apart by these and by their bucket, whose number holds other bits of the name, the more the
+    larger the corpus; words by these within one history.
+    """
+    return names & U64((1 << 8 * SHORT) - 1)
+
+
+def _sent(names: np.ndarray) -> bytes:
+    return np.ascontiguousarray(names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHORT]).tobytes()
+
+
 class _Reader:
     def __init__(self, data):
         self.data, self.at = memoryview(data), 0
@@ -59,6 +74,11 @@ class _Reader:
         self.at += out.nbytes
         return out
 
+    def names(self, n: int) -> np.ndarray:
+        out = np.zeros((n, 8), np.uint8)
+        out[:, :SHORT] = self.raw(np.uint8, n * SHORT).reshape(n, SHORT)
+        return out.view("<u8").ravel().astype(np.uint64, copy=False)
+
     def squeezed(self, kind) -> np.ndarray:
         size, packed = (int(x) for x in self.raw(np.int64, 2))
         part = self.data[self.at : self.at + packed]
@@ -251,9 +271,9 @@ class _Level:
             [
                 counts.tobytes(),
                 np.array([len(heads), hi - lo], np.int64).tobytes(),
-                self.names[own].tobytes(),
+                _sent(mix(self.names[own])),
                 np.array([len(shared)], np.int64).tobytes(),
-                self.word_keys[shared].tobytes(),
+                _sent(self.word_keys[shared]),
                 _squeeze(np.diff(np.append(heads, hi - lo)).astype(np.uint32)),
                 _squeeze(np.packbits(self.need[own])),
                 _squeeze(np.packbits(self.hot[own])),
@@ -261,7 +281,7 @@ class _Level:
                 _squeeze(self.train[lo:hi].astype(np.uint32)),
                 _squeeze(self.lower[lead].astype(np.int64)),
                 _squeeze(self.divisors[lead].astype(np.int64) if self.k > 2 else np.zeros(0, np.int64)),
-                _squeeze(self.names[self.alone(b)]),
+                _squeeze(_short(mix(self.names[self.alone(b)]))),
             ]
         )
 
@@ -309,9 +329,10 @@ class _Level:
             sums, mass = _sums(number, self.seen[own_from:], len(heads), p_below(self.lower[self.lead[own_from:]], self.divisors[self.lead[own_from:]]))
             weigh(self.history[heads], sums, mass)
         spread = np.flatnonzero(self.hot)
-        spread = spread[[int(x) in found.hot for x in self.names[spread]]] if len(spread) else spread
+        names = _short(mix(self.names[spread])).tolist()
+        got = [found.hot[x] for x in names if x in found.hot]
+        spread = spread[[x in found.hot for x in names]] if len(spread) else spread
         if len(spread):
-            got = [found.hot[int(x)] for x in self.names[spread]]
             weigh(spread, np.array([g[0] for g in got]), np.array([g[1] for g in got]))
 
     def probability(self, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -376,7 +397,7 @@ def _answer_grams(p_below: Callable):
             r = _Reader(data.as_buffer())
             held += r.raw(np.int64, TOP + 1)
             n_h, n = (int(x) for x in r.raw(np.int64, 2))
-            names, words = r.raw(np.uint64, n_h), r.raw(np.uint64, int(r.raw(np.int64, 1)[0]))
+            names, words = r.names(n_h), r.names(int(r.raw(np.int64, 1)[0]))
             sizes = r.squeezed(np.uint32).astype(np.int64)
             need, hot = (np.unpackbits(r.squeezed(np.uint8), count=n_h).view(bool) for _ in range(2))
             local = np.unpackbits(r.squeezed(np.uint8), count=n).view(bool)
@@ -450,7 +471,9 @@ def score(docs: DataFrame, held: str, order: int = ORDER) -> DataFrame:
     buckets = post.buckets
     texts = B.to_blocks(docs, post.blocks, [F.coalesce(F.col(held), F.lit(False)).alias("held")])
     # later steps need the numbers of the tokens only: texts are split, hashed and sorted once
-    rows = B.checkpointed(texts.groupBy("block").applyInArrow(lambda table: _Block.of_texts(table).row(B.one(table.column("block"))), _ROW))
+    parts = max(8, -(-post.blocks // BLOCKS_PER_PART))
+    rows = texts.repartition(parts, "block").groupBy("block")
+    rows = B.bucketed(rows.applyInArrow(lambda table: _Block.of_texts(table).row(B.one(table.column("block"))), _ROW), "block", parts)
 
     def unigrams(table: pa.Table) -> pa.Table:
         block = _Block.kept(table)

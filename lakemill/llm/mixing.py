@@ -5,13 +5,9 @@ by slot ceil(j / w). In each slot, of the blocks released, the one with the earl
 All deadlines are met, so after any number of slots each source is less than one block from its share of the weights
 as they were asked for: shares are compared as whole numbers, nothing is rounded.
 
-The schedule is worked out on the driver for at most ``MOST_BLOCKS`` blocks besides one for each source: a block has
-``block_rows`` rows, or more where the input is larger, so that the driver's work and the table that goes to the
-executors (two numbers a block) are the same for any input, and a block is 1 / ``MOST_BLOCKS`` of it.
-
-Only the ``MOST_SOURCES`` sources with the largest weights are scheduled by themselves. All smaller ones together are
-one source with the sum of their weights; in it row r of a source of weight w stands at the time (r + u) / w, u from
-0 to 1 by the source's name, so each of them is spread evenly, to within a block and the spread of the times.
+Every source is scheduled by itself, in blocks of ``block_rows`` rows. Up to ``DRIVER_BLOCKS`` blocks of at most
+``MOST_SOURCES`` sources the driver works the schedule out; more are scheduled by tasks, with the same slots (see
+``pfair``). ``MOST_BLOCKS``, if set, makes the blocks of larger inputs larger instead, so that there are about so many.
 
 A source that has run out leaves its slots free and the others close up: no row is dropped or repeated. Up to the
 first slot that may be free (``on_target``) the mixture holds; past it each remaining source keeps its own pace.
@@ -26,17 +22,19 @@ from __future__ import annotations
 import heapq
 import json
 import math
+from collections import Counter
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakemill.llm import pfair
 from lakemill.llm.ranks import range_count, range_of_key, ranked, shuffle_key
 
 BLOCK_ROWS, SEED = 4, 23
-MOST_BLOCKS, MOST_SOURCES = 100_000, 1000
-#: Strata besides the sources' own, which begin with 's' or are '' for the null source.
-REST, NONE = "rest", "none"
+DRIVER_BLOCKS, MOST_SOURCES = 100_000, 1000
+#: None: blocks keep their rows, however many there are.
+MOST_BLOCKS: int | None = None
 
 
 def whole_weights(weights: dict[str, float]) -> dict[str, int]:
@@ -87,19 +85,21 @@ def _in_source(rows: DataFrame, groups: list[str], seed: int, ranges: int) -> Da
     return ranked(rows, groups, "_mix_piece", ["_mix_key", "doc_id"], "_mix_rank", "_mix_n").drop("_mix_piece", "_mix_key")
 
 
-def _at_times(rows: DataFrame, time: Column, ranges: int) -> DataFrame:
-    """Ranks of rows that have been ranked in their source, by a time from 0 to 1 over all of them."""
-    rows = rows.withColumn("_mix_time", time).drop("_mix_n")
+def _spread(rows: DataFrame, ranges: int) -> DataFrame:
+    """New ranks of rows that have been ranked in their source: over all of them, each source spread evenly."""
+    offset = (F.pmod(F.xxhash64("_mix_s"), F.lit(1 << 20)) + 0.5) / F.lit(float(1 << 20))
+    rows = rows.withColumn("_mix_time", (F.col("_mix_rank") + offset) / F.col("_mix_n")).drop("_mix_n")
     rows = rows.withColumn("_mix_piece", F.floor(F.least(F.col("_mix_time"), F.lit(1.0)) * ranges).cast("int"))
     rows = rows.withColumnRenamed("_mix_rank", "_mix_own")
-    return ranked(rows, ["_mix_stratum"], "_mix_piece", ["_mix_time", "_mix_s", "_mix_own", "doc_id"], "_mix_rank", "_mix_n")
+    return ranked(rows, [], "_mix_piece", ["_mix_time", "_mix_s", "_mix_own", "doc_id"], "_mix_rank", "_mix_n")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, seed: int = SEED, most_sources: int | None = None) -> tuple[DataFrame, int]:
     """``docs`` with _mix_slot, _mix_seq (place of the block), _mix_rank, _mix_block, _mix_weight (the share asked for)
     and _mix_on_target; and the number of blocks.
 
-    Without ``weights`` each source's weight is the square root of its rows (to six decimals).
+    Without ``weights`` each source's weight is the square root of its rows (to six decimals). More than
+    ``most_sources`` sources are scheduled by tasks.
     """
     spark, most = docs.sparkSession, MOST_SOURCES if most_sources is None else most_sources
     ranges = range_count(docs)
@@ -108,67 +108,62 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     counts = docs.groupBy(stratum.alias("s")).agg(F.count("*").alias("n"))
     if weights is not None:  # as many as the caller gave
         given = _literal(spark, [(f"s{s}", float(w)) for s, w in weights.items() if w > 0], "s string, w double")
-        counts = counts.join(F.broadcast(given), "s", "left").select("s", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
+        unweighted = counts.join(F.broadcast(given), "s", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        counts = counts.join(F.broadcast(given), "s")
+        top = counts.collect()
+        whole = whole_weights({r.s: r.w for r in top})
+        weight_of = lambda s, n: whole[s]
+        alike = Counter((whole[r.s], r.n) for r in top)
     else:
-        counts = counts.withColumn("w", F.sqrt("n"))
-    top = counts.where("w > 0").orderBy(F.desc("w"), "s").limit(most).collect()
-    rows_of = {r.s: r.n for r in top}
-    asked = {r.s: root_weight(r.n) if weights is None else r.w for r in top}
-    apart = [*asked]
-    others = counts.where(~F.col("s").isin(apart)) if apart else counts
-    rest, none = ({"n": r.n, "w": r.w, "last": r.last} for r in (
-        others.where(t).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("w").alias("w"), F.max(F.try_divide("n", "w")).alias("last")).first() for t in ("w > 0", "w = 0")
-    ))
-    if rest["n"]:
-        rows_of[REST], asked[REST] = rest["n"], rest["w"]
-    per_block = max(block_rows, -(-sum([*rows_of.values(), none["n"]]) // MOST_BLOCKS))
-    blocks = {s: -(-n // per_block) for s, n in rows_of.items()}
-    whole = whole_weights(asked)
-    total = sum(whole.values())
-    plan = schedule(whole, blocks)
-    gap = min((blocks[s] * total // whole[s] for s in whole), default=0)
-    slots: dict[str, list[int]] = {s: [] for s in whole}
-    seqs: dict[str, list[int]] = {s: [] for s in whole}
-    for seq, (s, _, slot) in enumerate(plan):
-        slots[s].append(slot)
-        seqs[s].append(seq)
-    # a row for each stratum, two numbers for each block: at most MOST_BLOCKS + MOST_SOURCES of them
-    table = [(s, whole[s] / total, slots[s], seqs[s]) for s in whole]
-    table = _literal(spark, table, "_mix_stratum string, _mix_weight double, _mix_slots array<bigint>, _mix_seqs array<bigint>")
-    end = plan[-1][2] + 1 if plan else 0
+        unweighted = 0
+        weight_of = lambda s, n: math.isqrt(n * 10**12)
+        # sources of the same number of rows: there are fewer such numbers than the root of twice all rows
+        alike = Counter({(weight_of("", r.n), r.n): r["count"] for r in counts.groupBy("n").count().collect()})
+    per_block = max(block_rows, -(-(sum(n * k for (_, n), k in alike.items()) + unweighted) // MOST_BLOCKS)) if MOST_BLOCKS else block_rows
+    classes = [(w, -(-n // per_block), k) for (w, n), k in alike.items()]
+    total = sum(w * k for w, _, k in classes)
+    blocks = sum(b * k for _, b, k in classes)
+    gap = min((b * total // w for w, b, _ in classes), default=0)
 
     own_columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.withColumn("_mix_s", stratum)
-    if not rest["n"] and not none["n"]:
-        rows = _in_source(rows, ["_mix_s"], seed, ranges).drop("_mix_n").withColumnRenamed("_mix_s", "_mix_stratum")
+    rows = _in_source(docs.withColumn("_mix_s", stratum), ["_mix_s"], seed, ranges)
+    block = F.expr(f"_mix_rank div {per_block}")
+    late = None
+    if unweighted:
+        known = F.broadcast(given.select(F.col("s").alias("_mix_s")))
+        late = _spread(rows.join(known, "_mix_s", "left_anti"), ranges).withColumn("_mix_block", block)
+        rows = rows.join(known, "_mix_s", "left_semi")
+    rows = rows.withColumn("_mix_block", block)
+    if blocks <= DRIVER_BLOCKS and sum(k for _, _, k in classes) <= most:
+        sources = {r.s: r.n for r in (counts.collect() if weights is None else top)}
+        rows, end = _driver_slots(rows, {s: weight_of(s, n) for s, n in sources.items()}, {s: -(-n // per_block) for s, n in sources.items()})
     else:
-        rows = _in_source(rows, ["_mix_s"], seed, ranges)
-        known = F.col("_mix_s").isin(apart) if apart else F.lit(False)
-        weighted = F.sqrt("_mix_n") if weights is None else F.coalesce(F.col("w"), F.lit(0.0))
-        if weights is not None:
-            rows = rows.join(F.broadcast(given.withColumnRenamed("s", "_mix_s")), "_mix_s", "left")
-        rows = rows.withColumn("_mix_w", weighted.cast("double"))
-        rows = rows.select(*own_columns, "_mix_s", "_mix_rank", "_mix_n", "_mix_w")
-        own = rows.where(known).withColumn("_mix_stratum", F.col("_mix_s"))
-        spread = (F.pmod(F.xxhash64("_mix_s"), F.lit(1 << 20)) + 0.5) / F.lit(float(1 << 20))
-        time = (F.col("_mix_rank") + spread) / F.col("_mix_w") / F.lit(max(rest["last"] or 1.0, 1e-300))
-        parts = [own.drop("_mix_n")]
-        parts.append(_at_times(rows.where(~known & (F.col("_mix_w") > 0)).withColumn("_mix_stratum", F.lit(REST)), time, ranges))
-        parts.append(_at_times(rows.where(~known & (F.col("_mix_w") <= 0)).withColumn("_mix_stratum", F.lit(NONE)), (F.col("_mix_rank") + spread) / F.col("_mix_n"), ranges))
-        kept = [*own_columns, "_mix_stratum", "_mix_rank"]
-        rows = parts[0].select(*kept).unionAll(parts[1].select(*kept)).unionAll(parts[2].select(*kept))
-    rows = rows.withColumn("_mix_block", F.expr(f"_mix_rank div {per_block}")).join(F.broadcast(table), "_mix_stratum", "left")
-    at = (F.col("_mix_block") + 1).cast("int")
-    after = F.col("_mix_stratum") == NONE
-    rows = rows.withColumns(
-        {
-            "_mix_slot": F.when(after, F.col("_mix_block") + end).otherwise(F.get("_mix_slots", at - 1)),
-            "_mix_seq": F.when(after, F.col("_mix_block") + len(plan)).otherwise(F.get("_mix_seqs", at - 1)),
-            "_mix_weight": F.coalesce("_mix_weight", F.lit(0.0)),
-        }
-    )
-    rows = rows.withColumn("_mix_on_target", F.col("_mix_slot") < gap).drop("_mix_slots", "_mix_seqs", "_mix_stratum")
-    return rows, len(plan) + -(-none["n"] // per_block)
+        plan = pfair.plan(counts.select("s", "n"), classes, weight_of, per_block)
+        end = plan.agg(F.max("slot") + 1).first()[0] if unweighted else None
+        plan = plan.toDF("_mix_s", "_mix_block", "_mix_slot", "_mix_seq", "_mix_weight")
+        rows = rows.join(plan, ["_mix_s", "_mix_block"])
+    new = ["_mix_rank", "_mix_block", "_mix_slot", "_mix_seq", "_mix_weight"]
+    rows = rows.select(*own_columns, *new)
+    if unweighted:
+        after = {"_mix_slot": F.col("_mix_block") + end, "_mix_seq": F.col("_mix_block") + blocks, "_mix_weight": F.lit(0.0)}
+        rows = rows.unionAll(late.withColumns(after).select(*own_columns, *new))
+    return rows.withColumn("_mix_on_target", F.col("_mix_slot") < gap), blocks + -(-unweighted // per_block)
+
+
+def _driver_slots(rows: DataFrame, weights: dict[str, int], blocks: dict[str, int]) -> tuple[DataFrame, int]:
+    """``rows`` with _mix_slot, _mix_seq and _mix_weight by the driver's schedule, and the first slot after it."""
+    plan, total = schedule(weights, blocks), sum(weights.values())
+    slots: dict[str, list[int]] = {s: [] for s in weights}
+    seqs: dict[str, list[int]] = {s: [] for s in weights}
+    for seq, (s, _, slot) in enumerate(plan):
+        slots[s].append(slot)
+        seqs[s].append(seq)
+    # a row for each source, two numbers for each block
+    table = [(s, weights[s] / total, slots[s], seqs[s]) for s in weights]
+    table = _literal(rows.sparkSession, table, "_mix_s string, _mix_weight double, _mix_slots array<bigint>, _mix_seqs array<bigint>")
+    at = F.col("_mix_block").cast("int")
+    rows = rows.join(F.broadcast(table), "_mix_s").withColumns({"_mix_slot": F.get("_mix_slots", at), "_mix_seq": F.get("_mix_seqs", at)})
+    return rows, plan[-1][2] + 1 if plan else 0
 
 
 def mixed_order(docs: DataFrame, **how) -> DataFrame:

@@ -44,8 +44,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     docs = mixing.positions(docs)
-    rows = byte_bpe.encode(docs.select("doc_id", "source", "position", "text"), *ranks).drop("text")
-    rows = byte_bpe.decode(rows, *ranks)
+    rows = byte_bpe.round_trip(docs.select("doc_id", "source", "position", "text"), *ranks)
     return rows.select(
         "doc_id",
         "source",

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
+from lakemill.llm.memory import frugal
 from lakemill.llm.words import SLICE_BYTES
 
 #: Bytes of text for each block and each bucket, and rows of messages of one step that go without hubs.
@@ -156,7 +157,7 @@ def to_blocks(docs: DataFrame, blocks: int, keep: list[str] = ()) -> DataFrame:
         F.col("text").cast("string").cast("binary").alias("text"),
         *keep,
     )
-    return rows.mapInArrow(_compress, T.StructType(fields + rows.schema.fields[3:]))
+    return rows.mapInArrow(frugal(_compress), T.StructType(fields + rows.schema.fields[3:]))
 
 
 class Outbox:

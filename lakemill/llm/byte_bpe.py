@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakemill.llm.memory import frugal
 from lakemill.llm.words import plain, slices
 
 #: Characters of a text that are encoded at once.
@@ -77,8 +78,16 @@ def _with(rows: pa.RecordBatch, name: str, made: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(rows.column(i) for i in kept), made], names=[*(rows.schema.names[i] for i in kept), name])
 
 
-def _schema(df: DataFrame, name: str) -> T.StructType:
-    return T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, T.BinaryType())])
+def _schema(df: DataFrame, *names: str) -> T.StructType:
+    return T.StructType([*(f for f in df.schema.fields if f.name not in names), *(T.StructField(name, T.BinaryType()) for name in names)])
+
+
+def _packed(encoding: tiktoken.Encoding, texts: pa.Array) -> pa.Array:
+    return pa.array([encode_text(encoding, t) for t in texts.to_pylist()], pa.binary())
+
+
+def _raw(encoding: tiktoken.Encoding, packed: pa.Array) -> pa.Array:
+    return pa.array([encoding.decode_bytes(memoryview(x).cast("I").tolist()) if x else b"" for x in packed.to_pylist()], pa.binary())
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -89,10 +98,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
         for batch in batches:
             texts = plain(batch.column(text))
             for a, b in slices(texts):
-                packed = [encode_text(encoding, t) for t in texts.slice(a, b - a).to_pylist()]
-                yield _with(batch.slice(a, b - a), ids, pa.array(packed, pa.binary()))
+                yield _with(batch.slice(a, b - a), ids, _packed(encoding, texts.slice(a, b - a)))
 
-    return df.mapInArrow(work, _schema(df, ids))
+    return df.mapInArrow(frugal(work), _schema(df, ids))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -103,16 +111,34 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
         for batch in batches:
             packed = plain(batch.column(ids))
             for a, b in slices(packed):
-                raw = [encoding.decode_bytes(memoryview(x).cast("I").tolist()) if x else b"" for x in packed.slice(a, b - a).to_pylist()]
-                yield _with(batch.slice(a, b - a), out, pa.array(raw, pa.binary()))
+                yield _with(batch.slice(a, b - a), out, _raw(encoding, packed.slice(a, b - a)))
+
+    return df.mapInArrow(frugal(work), _schema(df, out))
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``df`` with the columns of ``encode`` and of ``decode`` of it, and without the text.
+
+    Each slice is encoded and its packed ids decoded by one worker: two steps in a row would take two workers for each
+    task, with a rank table each, and hand the ids over through the JVM.
+    """
+
+    def work(batches):
+        encoding = load(path, pattern)
+        for batch in batches:
+            texts = plain(batch.column(text))
+            rest = batch.drop_columns([text])
+            for a, b in slices(texts):
+                packed = _packed(encoding, texts.slice(a, b - a))
+                yield _with(_with(rest.slice(a, b - a), ids, packed), out, _raw(encoding, packed))
 
-    return df.mapInArrow(work, _schema(df, out))
+    return df.mapInArrow(frugal(work), _schema(df.drop(text), ids, out))
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of what they decode to, for all rows of ``docs``."""
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    done = decode(encode(texts, path, pattern).drop("text"), path, pattern)
+    done = round_trip(texts, path, pattern)
     return done.select(
         "doc_id",
         (F.length("ids") / 4).cast("bigint").alias("n_tokens"),

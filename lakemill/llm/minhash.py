@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from lakemill.llm import blocks as B
 from lakemill.llm.components import connected_components
+from lakemill.llm.memory import frugal, spared
 from lakemill.llm.skew import keyed_join, only
 from lakemill.llm.words import GOLDEN, U64, first_of_runs, mix, pair_name, plain, slices, split, window_hashes
 
@@ -332,7 +333,7 @@ def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
 
     def agreeing(pairs: DataFrame) -> DataFrame:
         facing = B.checkpointed(pairs.join(marks.withColumnRenamed("doc_id", "a"), "a"))
-        return B.checkpointed(keyed_join(facing, marks.toDF("b", "n_b", "marks_b"), "b").mapInArrow(_agree(percent), "a bigint, b bigint"))
+        return B.checkpointed(keyed_join(facing, marks.toDF("b", "n_b", "marks_b"), "b").mapInArrow(frugal(_agree(percent)), "a bigint, b bigint"))
 
     # first each document's most frequent star; others only where that left both ends apart
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
@@ -370,7 +371,8 @@ def candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
         signatures_held = rows.agg(F.sum("parts")).first()[0] or 0
     bins = max(8, -(-signatures_held // TASK_MARKS))
     found = found.withColumn("bin", F.pmod(F.xxhash64("key", "chunk", "part"), F.lit(bins)).cast("int"))
-    return edges.unionAll(B.checkpointed(found.groupBy("bin").applyInArrow(_apart(percent), "a bigint, b bigint")))
+    work = _apart(percent)
+    return edges.unionAll(B.checkpointed(found.groupBy("bin").applyInArrow(lambda table: spared(work(table)), "a bigint, b bigint")))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -382,7 +384,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     kept. Other columns are left out.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    full, full_at = B.written(docs.mapInArrow(_describe, _DESCRIBED))
+    full, full_at = B.written(docs.mapInArrow(frugal(_describe), _DESCRIBED))
     described = B.checkpointed(full.select("doc_id", "n_shingles", "high", "low"))
     sized = described.where("n_shingles > 0 and doc_id is not null")
     name = ["n_shingles", "high", "low"]
@@ -405,12 +407,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         with B.cleaning(docs.sparkSession):
             bins = max(8, -(-(shingles.agg(F.sum("n_shingles")).first()[0] or 0) // TASK_SHINGLES))
         binned = rows.withColumn("bin", F.pmod(F.xxhash64(*keys), F.lit(bins)).cast("int"))
-        return B.checkpointed(binned.groupBy("bin").applyInArrow(work, _LINKS))
+        return B.checkpointed(binned.groupBy("bin").applyInArrow(lambda table: spared(work(table)), _LINKS))
 
     B.discard(docs.sparkSession, full_at, path)
     # only members' texts are read again into sets
     rows = only(docs, member, "doc_id").join(member.drop("n_shingles"), "doc_id")
-    links = compare(rows.withColumn("text", F.col("text").cast("binary")).transform(lambda r: r.mapInArrow(_sets, r.schema)), ["cluster", "chunk"], _within(percent), member)
+    links = compare(rows.withColumn("text", F.col("text").cast("binary")).transform(lambda r: r.mapInArrow(frugal(_sets), r.schema)), ["cluster", "chunk"], _within(percent), member)
     sets = links.where("rank < 0").select(F.col("a").alias("doc_id"), "text")
     # clusters of several chunks
     large = member.where("chunks > 1")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lakemill.llm.blocks import checkpointed, cleaning
 
@@ -26,7 +28,8 @@ def keyed_join(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner"
     if not hot:
         return left.join(right, [*keys], how)
     values = [c for c in right.columns if c not in keys]
-    chosen = left.sparkSession.createDataFrame(hot, left.select(*keys).schema)
+    # as an Arrow table: of a list, Spark would make rows by Python workers of another kind on every executor
+    chosen = left.sparkSession.createDataFrame(pa.Table.from_pylist([r.asDict() for r in hot], to_arrow_schema(left.select(*keys).schema)))
     few = F.broadcast(chosen).join(right.withColumn("_in", F.lit(True)), [*keys], "left")
     few = few.select(*keys, *[F.col(c).alias(f"_few_{c}") for c in values], F.col("_in").alias("_few_in"), F.lit(True).alias("_hot"))
     rows = left.join(F.broadcast(few), [*keys], "left")

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakemill.llm import blocks as B
+from lakemill.llm.memory import spared
 from lakemill.llm.words import GOLDEN, U64, distinct, first_of_runs, mix, pair_name, split, window_hashes
 
 ROUNDS = 4
@@ -376,13 +377,13 @@ def substring_dedup(docs: DataFrame, width: int = 50, as_is: bool = False) -> Da
             labels.append("rest")
         return pa.table(out, names=labels)
 
-    shared = post.answer(post.ask(blocks, symbols), _answer_shared)
-    earlier = post.answer(post.ask_again(blocks, shared, names), _answer_names)
+    shared = post.answer(post.ask(blocks, lambda table: spared(symbols(table))), lambda table: spared(_answer_shared(table)))
+    earlier = post.answer(post.ask_again(blocks, shared, lambda table, got: spared(names(table, got))), lambda table: spared(_answer_names(table)))
     answers = shared.withColumn("round", F.lit(1)).unionAll(earlier.withColumn("round", F.lit(2)))
     fields = T.StructType.fromDDL("doc_id bigint, n_words bigint, n_removed bigint, removed array<struct<first:bigint,past:bigint>>, kept_text string")
     if rest:
         fields = fields.add("rest", blocks.schema["rest"].dataType)
-    out = post.follow(blocks, answers, cut, fields)
+    out = post.follow(blocks, answers, lambda table, got: spared(cut(table, got)), fields)
     return out.select("doc_id", "n_words", "n_removed", "removed", "kept_text", *[F.col("rest").getField(c).alias(c) for c in rest])
 
 

@@ -17,6 +17,15 @@ def test_keyed_join(spark, how):
     assert got == want and len(got) >= 2000 and key
 
 
+def test_hot_keys_take_no_python_workers(spark):
+    """Rows of hot keys come from the driver as they are; a list would be an RDD that Python workers make rows of."""
+    left = spark.range(3000).selectExpr("if(id < 2000, 7, id) as k", "concat('s', id % 2) as s", "id as v")
+    right = spark.range(3000).selectExpr("id as k", "'s1' as s", "id * 10 as w")
+    joined = skew.keyed_join(left, right, "k", "s")
+    assert "ExistingRDD" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, left.join(right, ["k", "s"]).collect()))
+
+
 def test_only(spark):
     rows = spark.createDataFrame([(i, "t") for i in (1, 2, None, 4, 4)], "doc_id bigint, text string")
     ids = spark.createDataFrame([(4,), (None,), (4,), (9,)], "x bigint")

@@ -29,6 +29,18 @@ def test_bpe(odd, empty):
     assert byte_bpe.encode(odd, *RANKS).columns == [*odd.columns, "ids"]
 
 
+def test_bpe_round_trip_takes_one_worker(odd):
+    """Texts are encoded and decoded in one step, so a task takes one worker with one rank table."""
+    took = byte_bpe.digest(odd, *RANKS)
+    assert took._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    two = byte_bpe.decode(byte_bpe.encode(odd, *RANKS), *RANKS).drop("text")
+    one = byte_bpe.round_trip(odd, *RANKS)
+    assert one.schema == two.schema and one.collect() == two.collect()
+    # columns of the results' names are replaced
+    named = odd.select("doc_id", "text", odd["source"].alias("decoded"), odd["block"].alias("ids"))
+    assert byte_bpe.round_trip(named, *RANKS).collect() == two.select("doc_id", "ids", "decoded").collect()
+
+
 def test_bpe_pieces_keep_matches():
     whole = byte_bpe.load(*RANKS)
     random.seed(1)
